@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.leaks import leaked_passages
 from quillon.llm.near_duplicates import group_pairs, near_duplicate_groups
 from quillon.plans.tables import table
 
@@ -29,5 +30,21 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _prompt_groups(spark, folder).withColumnRenamed("id", "message_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_passages(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "held_out_items"), "item_id", "text")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the held-out items of which they contain a passage."""
+    return _leaks(spark, folder).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p5_items(spark: SparkSession, folder: str) -> DataFrame:
+    """For each held-out item, in how many documents passages of it occur."""
+    items = table(spark, folder, "held_out_items").select("item_id", "benchmark", "split")
+    n = _leaks(spark, folder).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("n_docs"), F.sum("n_passages").alias("n_passages"))
+    return items.join(n, "item_id", "left").na.fill(0, ["n_docs", "n_passages"])
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_items": p5_items}
 ORACLES: dict[str, str] = {}
