@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.leaks import leaked_passages
 from quillon.llm.near_duplicates import group_pairs, near_duplicate_groups
+from quillon.llm.packing import pack, packed_room
 from quillon.plans.tables import table
 
 
@@ -30,6 +31,17 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _prompt_groups(spark, folder).withColumnRenamed("id", "message_id")
 
 
+def p4_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """For each container, the sequence and the place in it of every document or piece of one."""
+    docs, containers = table(spark, folder, "documents"), table(spark, folder, "containers")
+    return pack(docs, "doc_id", "text", containers, "container", "capacity_tokens").withColumnRenamed("id", "doc_id")
+
+
+def p4_room(spark: SparkSession, folder: str) -> DataFrame:
+    """For each container, its sequences and the room that they leave unused."""
+    return packed_room(p4_pack(spark, folder), table(spark, folder, "containers"), "container", "capacity_tokens")
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_passages(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "held_out_items"), "item_id", "text")
 
@@ -46,5 +58,5 @@ def p5_items(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(n, "item_id", "left").na.fill(0, ["n_docs", "n_passages"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_items": p5_items}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_pack": p4_pack, "p4_room": p4_room, "p5_found": p5_found, "p5_items": p5_items}
 ORACLES: dict[str, str] = {}
