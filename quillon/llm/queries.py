@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.llm.leaks import leaked_passages
 from quillon.llm.near_duplicates import group_pairs, near_duplicate_groups
 from quillon.llm.packing import pack, packed_room
+from quillon.llm.split_overlap import SplitOverlap
 from quillon.plans.tables import table
 
 
@@ -31,6 +32,35 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _prompt_groups(spark, folder).withColumnRenamed("id", "message_id")
 
 
+def _overlap(spark: SparkSession, folder: str) -> tuple[DataFrame, SplitOverlap]:
+    split = F.lower(F.trim("split"))
+    user = F.filter("messages", lambda m: F.lower(F.regexp_replace(m["role"], r"(?U)^\s+|\s+$", "")) == "user")
+    rows = table(spark, folder, "sft_train_codegen").select(
+        "sample_id", "source", split.alias("split"), F.array_join(F.transform(user, lambda m: m["content"]), "\n").alias("user"), "gt_tests"
+    )
+    trained = F.when(split == "train", True).when(split.isin("validation", "test"), False)
+    return rows, SplitOverlap(rows.withColumn("trained", trained), "sample_id", "user", "gt_tests", "trained", width=3, text_threshold=0.7, tests_threshold=0.8)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a training row and a validation or test row that overlap."""
+    return _overlap(spark, folder)[1].pairs().toDF("sample_id_a", "sample_id_b")
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    """For each held-out split and source: its rows, and how many overlap with the training split and by what."""
+    rows, overlap = _overlap(spark, folder)
+    held = rows.where("split in ('validation', 'test')").select("sample_id", "split", "source")
+    found = overlap.overlapping().withColumnRenamed("id", "sample_id")
+    return held.join(found, "sample_id", "left").groupBy("split", "source").agg(
+        F.count("*").alias("n_rows"),
+        F.count("by_text").alias("n_overlapping"),
+        F.count_if("by_text").alias("n_by_text"),
+        F.count_if("by_tests").alias("n_by_tests"),
+        F.max("coverage").alias("most_coverage"),
+    )
+
+
 def p4_pack(spark: SparkSession, folder: str) -> DataFrame:
     """For each container, the sequence and the place in it of every document or piece of one."""
     docs, containers = table(spark, folder, "documents"), table(spark, folder, "containers")
@@ -58,5 +88,5 @@ def p5_items(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(n, "item_id", "left").na.fill(0, ["n_docs", "n_passages"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_pack": p4_pack, "p4_room": p4_room, "p5_found": p5_found, "p5_items": p5_items}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_report": p3_report, "p4_pack": p4_pack, "p4_room": p4_room, "p5_found": p5_found, "p5_items": p5_items}
 ORACLES: dict[str, str] = {}
