@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.leaks import leaked_passages
+from quillon.llm.mojibake import restored_texts
 from quillon.llm.near_duplicates import group_pairs, near_duplicate_groups
 from quillon.llm.packing import pack, packed_room
 from quillon.llm.split_overlap import SplitOverlap
@@ -88,5 +89,16 @@ def p5_items(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(n, "item_id", "left").na.fill(0, ["n_docs", "n_passages"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_report": p3_report, "p4_pack": p4_pack, "p4_room": p4_room, "p5_found": p5_found, "p5_items": p5_items}
+def p6_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with text from a wrong decoding, as restored, with the chains undone."""
+    docs = table(spark, folder, "documents")
+    return restored_texts(docs, "doc_id", "text", "lang").withColumnRenamed("id", "doc_id")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with text from a wrong decoding, whether or not it can be restored."""
+    return p6_restored(spark, folder).select("doc_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_report": p3_report, "p4_pack": p4_pack, "p4_room": p4_room, "p5_found": p5_found, "p5_items": p5_items, "p6_found": p6_found, "p6_restored": p6_restored}
 ORACLES: dict[str, str] = {}
