@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.answer_defects import defective_answers
 from quillon.llm.leaks import leaked_passages
 from quillon.llm.mojibake import restored_texts
 from quillon.llm.near_duplicates import group_pairs, near_duplicate_groups
@@ -33,6 +34,12 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _prompt_groups(spark, folder).withColumnRenamed("id", "message_id")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective answers with their defect."""
+    found = defective_answers(table(spark, folder, "messages"), "message_id", "request_id", "turn", "role", "content", "tool_calls")
+    return found.withColumnRenamed("id", "message_id")
+
+
 def _overlap(spark: SparkSession, folder: str) -> tuple[DataFrame, SplitOverlap]:
     split = F.lower(F.trim("split"))
     user = F.filter("messages", lambda m: F.lower(F.regexp_replace(m["role"], r"(?U)^\s+|\s+$", "")) == "user")
@@ -100,5 +107,5 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_restored(spark, folder).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_report": p3_report, "p4_pack": p4_pack, "p4_room": p4_room, "p5_found": p5_found, "p5_items": p5_items, "p6_found": p6_found, "p6_restored": p6_restored}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p4_pack": p4_pack, "p4_room": p4_room, "p5_found": p5_found, "p5_items": p5_items, "p6_found": p6_found, "p6_restored": p6_restored}
 ORACLES: dict[str, str] = {}
