@@ -1,6 +1,26 @@
-"""Queries and their oracles by name."""
+"""Queries and their oracles by name; the modules in quillon.queries fill them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from importlib import import_module
+
+QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, folder) -> DataFrame under its name, with the SQL that gives the same rows."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    for name in ("evaluation", "advantages", "losses", "metrics", "batches", "texts", "tokens", "sampling", "stateful"):
+        import_module(f"quillon.queries.{name}")
