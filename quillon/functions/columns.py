@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+NUDGE = 3.14159e-8
+
+
 def stripped(c: Column | str) -> Column:
     """Without white space at the ends, Unicode white space included; Spark's trim takes spaces only."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -21,5 +24,5 @@ def clip(c: Column, low: float, high: float) -> Column:
 
 
 def rounded(c: Column | str, digits: int = 6) -> Column:
-    """Rounded for results that are compared between engines; -0.0 becomes 0.0."""
-    return F.round(c, digits) + F.lit(0.0)
+    """Rounded for results that are compared between engines, off decimal ties; -0.0 becomes 0.0."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(NUDGE), digits) + F.lit(0.0)

@@ -177,12 +177,12 @@ def eval_mean_of_means(spark, folder):
 
 @query(
     V + r""", o AS (SELECT e.task_id, e.sol_idx, e.test_idx, regexp_replace(stdout, '^\s+|\s+$', '', 'g') AS a, regexp_replace(expected, '^\s+|\s+$', '', 'g') AS b FROM e JOIN tests USING (task_id, test_idx)),
-    p AS (SELECT *, list_filter(string_split_regex(a, '\s+'), x -> x <> '') AS ta, list_filter(string_split_regex(b, '\s+'), x -> x <> '') AS tb,
-      list_filter(list_transform(string_split(a, chr(10)), x -> regexp_replace(x, '^\s+|\s+$', '', 'g')), x -> x <> '') AS la,
-      list_filter(list_transform(string_split(b, chr(10)), x -> regexp_replace(x, '^\s+|\s+$', '', 'g')), x -> x <> '') AS lb FROM o)
+    p AS (SELECT *, list_filter(string_split_regex(a, '\s+'), lambda x: x <> '') AS ta, list_filter(string_split_regex(b, '\s+'), lambda x: x <> '') AS tb,
+      list_filter(list_transform(string_split(a, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS la,
+      list_filter(list_transform(string_split(b, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lb FROM o)
     SELECT task_id, sol_idx, test_idx, coalesce(a = b OR la = lb OR (
-      NOT coalesce(list_bool_and(list_transform(list_concat(ta, tb), x -> regexp_matches(x, '^[+-]?\d+$'))), true) AND len(ta) = len(tb) AND len(tb) > 0
-      AND list_bool_and(list_transform(list_zip(ta, tb), z -> coalesce(abs(try_cast(z[1] AS DOUBLE) - try_cast(z[2] AS DOUBLE)) <= 1e-8 + 1e-5 * abs(try_cast(z[2] AS DOUBLE)), false)))), false) AS matches FROM p"""
+      NOT coalesce(list_bool_and(list_transform(list_concat(ta, tb), lambda x: regexp_matches(x, '^[+-]?\d+$'))), true) AND len(ta) = len(tb) AND len(tb) > 0
+      AND list_bool_and(list_transform(list_zip(ta, tb), lambda z: coalesce(abs(try_cast(z[1] AS DOUBLE) - try_cast(z[2] AS DOUBLE)) <= 1e-8 + 1e-5 * abs(try_cast(z[2] AS DOUBLE)), false)))), false) AS matches FROM p"""
 )
 def output_comparators(spark, folder):
     e = table(spark, folder, "executions").dropDuplicates(["task_id", "sol_idx", "test_idx"])
