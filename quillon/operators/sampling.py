@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.plans.staging import stage
+
 
 def with_position(df: DataFrame, order: list[Column | str], name: str = "position", buckets: int | None = None) -> DataFrame:
     """df with its rows' positions 0, 1, … in the given total order, without sorting everything in one task.
@@ -14,7 +16,8 @@ def with_position(df: DataFrame, order: list[Column | str], name: str = "positio
     """
     n = buckets or max(2, df.sparkSession.sparkContext.defaultParallelism)
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"_p": F.shiftright("_id", 33), "_i": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    # a table, since the ranges are drawn anew each time the plan runs
+    ranged = stage(ranged.withColumns({"_p": F.shiftright("_id", 33), "_i": F.col("_id").bitwiseAND((1 << 33) - 1)}), "positions")
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.toDF("_q", "_m").join(counts.select("_p"), F.col("_q") < F.col("_p"), "right").groupBy("_p").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_b"))
     # one row for each partition of the range sort

@@ -10,7 +10,7 @@ from quillon.plans.tables import table
 from quillon.queries.roles import TOKENS, tokens
 from quillon.registry import query
 
-VAL = "WITH s AS (SELECT DISTINCT data_source, prompt, sample_idx, score, acc, pred FROM validation_samples WHERE score < 1e300)"
+VAL = "WITH s AS (SELECT DISTINCT data_source, prompt, sample_idx, score, acc, pred FROM validation_samples WHERE isfinite(score))"
 
 
 def samples(spark, folder):
