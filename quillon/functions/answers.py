@@ -1,0 +1,121 @@
+"""Mathematical answers: boxed text, normal forms and equality. Sequential string work, in Arrow-batched functions."""
+
+from __future__ import annotations
+
+import ast
+import re
+from decimal import Decimal, InvalidOperation
+from fractions import Fraction
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
+
+# Unit words that are dropped from answers.
+UNITS = "degrees? cm|meters?|feet|foot|inch(?:es)?|yards?|miles?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|cents?|degrees?|units?|square|points?"
+
+
+def last_boxed(text: str | None) -> str | None:
+    r"""The content of the last \boxed{…} with balanced braces, or None."""
+    if not text:
+        return None
+    for m in reversed(list(re.finditer(r"\\(?:boxed|fbox)\s*\{", text))):
+        depth = 0
+        for k in range(m.end() - 1, len(text)):
+            depth += (text[k] == "{") - (text[k] == "}")
+            if depth == 0:
+                return text[m.end() : k]
+    m = re.search(r"\\boxed ([^\s$]+)(?!.*\\boxed)", text, re.S)
+    return m.group(1) if m else None
+
+
+def normal_form(answer: str | None) -> str | None:
+    """Without spaces, dollars, text marks, units and thousands separators; fractions and roots in one notation."""
+    if answer is None:
+        return None
+    s = answer.split("=")[-1] if answer.count("=") == 1 and len(answer.split("=")[0].strip()) <= 2 else answer
+    for a, b in ((r"\!", ""), (r"\,", ""), (r"\ ", ""), ("tfrac", "frac"), ("dfrac", "frac"), (r"\left", ""), (r"\right", ""), (r"^{\circ}", ""), (r"^\circ", ""), (r"\$", ""), ("$", ""), (r"\%", ""), ("%", "")):
+        s = s.replace(a, b)
+    s = re.sub(r"\\(?:text|mbox|mathrm|textbf)\{(.*?)\}", r"\1", s)
+    s = re.sub(rf"(?<=\d)\s*(?:{UNITS})\b\.?", "", s)
+    s = re.sub(r"\\frac\s*(\d)\s*(\d)", r"\\frac{\1}{\2}", s)
+    s = re.sub(r"\\frac\s*\{([^{}]*)\}\s*(\w)(?!\w)", r"\\frac{\1}{\2}", s)
+    s = re.sub(r"\\sqrt\s*(\w)", r"\\sqrt{\1}", s)
+    s = re.sub(r"(?<=\d),(?=\d{3}\b)", "", s)
+    s = re.sub(r"\s+", "", s).rstrip(".")
+    if re.fullmatch(r"-?\d+/\d+", s):
+        a, b = s.split("/")
+        s = rf"\frac{{{a}}}{{{b}}}"
+    if re.fullmatch(r"-?\.\d+", s):
+        s = s.replace(".", "0.", 1)
+    if re.fullmatch(r"-?\d+\.0+", s):
+        s = s.split(".")[0]
+    return s
+
+
+def number(answer: str | None) -> Fraction | None:
+    """The value of a plain number, a fraction or a percentage, by arithmetic and never by evaluating code."""
+    if answer is None:
+        return None
+    s = answer.strip()
+    percent = s.endswith("%")
+    s = normal_form(s) or ""
+    if m := re.fullmatch(r"(-?)\\frac\{(-?\d+)\}\{(-?\d+)\}", s):
+        return (-1 if m[1] else 1) * Fraction(int(m[2]), int(m[3])) if int(m[3]) else None
+    try:
+        x = Fraction(Decimal(s))
+    except (InvalidOperation, ValueError, OverflowError):
+        return None
+    return x / 100 if percent else x
+
+
+def same_answer(given: str | None, gold: str | None) -> bool:
+    """Equal normal forms, equal values, or tuples of equal parts; nothing equals a missing answer."""
+    if given is None or gold is None:
+        return False
+    a, b = normal_form(given), normal_form(gold)
+    if a == b:
+        return True
+    pa, pb = (re.fullmatch(r"[(\[](.*,.*)[)\]]", x or "") for x in (a, b))
+    if pa and pb and a[0] == b[0] and a[-1] == b[-1]:
+        x, y = pa[1].split(","), pb[1].split(",")
+        return len(x) == len(y) and all(same_answer(p, q) for p, q in zip(x, y))
+    x, y = number(given), number(gold)
+    return x is not None and x == y
+
+
+def close_number(given: str | None, gold: str | None, tolerance: float = 1e-4) -> bool:
+    """Within a relative tolerance of the gold value, its hundredth or its hundredfold."""
+    x, y = number(given), number(gold)
+    if x is None or y is None:
+        return False
+    return any(abs(x - t) <= Fraction(tolerance) * max(abs(x), abs(t)) for t in (y / 100, y, y * 100))
+
+
+def parses(code: str | None) -> bool:
+    """Whether the text is Python by its syntax; it isn't run."""
+    try:
+        ast.parse(code or "")
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return bool(code and code.strip())
+
+
+@F.pandas_udf(StringType())
+def boxed_udf(text: pd.Series) -> pd.Series:
+    return text.map(last_boxed)
+
+
+@F.pandas_udf(StringType())
+def normal_udf(answer: pd.Series) -> pd.Series:
+    return answer.map(normal_form)
+
+
+@F.pandas_udf(BooleanType())
+def same_udf(given: pd.Series, gold: pd.Series) -> pd.Series:
+    return pd.Series([same_answer(a, b) for a, b in zip(given, gold)])
+
+
+@F.pandas_udf(BooleanType())
+def parses_udf(code: pd.Series) -> pd.Series:
+    return code.map(parses)
