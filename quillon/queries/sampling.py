@@ -1 +1,106 @@
-"""To be filled."""
+"""Splits, samples, group filters, resampling and balancing."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quillon.functions.columns import rounded
+from quillon.operators import balance as B
+from quillon.operators import sampling as S
+from quillon.plans.tables import table
+from quillon.queries.roles import ROLLOUTS, rollouts
+from quillon.registry import query
+
+
+@query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) <= 100 THEN 'test' ELSE 'train' END AS split FROM documents")
+def exact_split(spark, folder):
+    return S.exact_split(table(spark, folder, "documents").select("doc_id"), "doc_id", 100)
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents) WHERE p >= round(n * 0.75)")
+def percent_split(spark, folder):
+    return S.percent_slice(table(spark, folder, "documents").select("doc_id"), "doc_id", 75, 100)
+
+
+@query(
+    """WITH t AS (SELECT task_id, unnest(range(json_array_length(solutions)::BIGINT)) AS i, solutions FROM tasks WHERE json_valid(solutions)),
+    r AS (SELECT task_id, json_extract_string(solutions, '$[' || i || ']') AS s, row_number() OVER (PARTITION BY task_id ORDER BY md5(concat_ws(':', '42', task_id::VARCHAR, i::VARCHAR))) AS k FROM t)
+    SELECT task_id, list(s ORDER BY k) AS picked FROM r WHERE k <= 2 GROUP BY task_id"""
+)
+def seeded_sample(spark, folder):
+    """Up to two solutions of each task."""
+    t = table(spark, folder, "tasks").select("task_id", F.from_json("solutions", "array<string>").alias("s")).where("size(s) > 0")
+    return t.select("task_id", S.sample_elements(F.col("s"), F.col("task_id"), 2).alias("picked"))
+
+
+@query(ROLLOUTS + "SELECT row_id, uid, round(score, 6) AS score FROM ro QUALIFY max(score) OVER (PARTITION BY uid) > min(score) OVER (PARTITION BY uid) OR count(*) OVER (PARTITION BY uid) = 1")
+def group_filter_dapo(spark, folder):
+    r = S.informative_groups(rollouts(spark, folder), "uid", "score")
+    return r.select("row_id", "uid", rounded("score").alias("score"))
+
+
+_BAND = ROLLOUTS.rstrip() + """, x AS (SELECT *, (row_id % 3) / 2.0 AS acc, row_id % 500 AS len FROM ro), k AS (SELECT *, avg(acc) OVER w BETWEEN 0.2 AND 0.8 AND max(len) OVER w < 499 AS kept FROM x WINDOW w AS (PARTITION BY uid))
+"""
+
+
+@query(_BAND + "SELECT row_id, uid, kept FROM k")
+def band_filter_prime(spark, folder):
+    r = rollouts(spark, folder).withColumns({"acc": (F.col("row_id") % 3) / 2.0, "len": F.col("row_id") % 500})
+    return S.banded_groups(r, "uid", "acc", "len", 0.2, 0.8, 500).select("row_id", "uid", "kept")
+
+
+@query(_BAND + ", g AS (SELECT uid, bool_and(kept) AS k FROM k GROUP BY ALL), t AS (SELECT uid FROM g ORDER BY k DESC, uid LIMIT (SELECT count(*) // 2 FROM g)) SELECT row_id, uid, kept FROM k WHERE uid IN (FROM t)")
+def downsample_prime(spark, folder):
+    return S.downsample_groups(band_filter_prime(spark, folder), "uid", "kept", 2)
+
+
+@query(ROLLOUTS + "SELECT row_id, uid FROM ro WHERE uid IN (SELECT DISTINCT uid FROM ro ORDER BY uid LIMIT 64)")
+def accumulate_groups(spark, folder):
+    return S.accumulate_groups(rollouts(spark, folder).select("row_id", "uid"), "uid", 64)
+
+
+@query(ROLLOUTS + "SELECT row_id, round(score * score, 6) AS by_power, CASE WHEN score = (SELECT max(score) FROM ro) OR score = (SELECT min(score) FROM ro) THEN 1.0 ELSE 0.0 END::DOUBLE AS max_min, CASE WHEN score = (SELECT max(score) FROM ro) THEN 0.4 ELSE 0.1 END::DOUBLE AS max_random FROM ro")
+def pfppo_weights(spark, folder):
+    r = S.resampling_weights(rollouts(spark, folder), "score", "pow", out="by_power")
+    r = S.resampling_weights(S.resampling_weights(r, "score", "max_min", out="max_min"), "score", "max_random", out="max_random")
+    return r.select("row_id", rounded("by_power").alias("by_power"), "max_min", "max_random")
+
+
+@query()
+def pfppo_resample(spark, folder):
+    return S.resample(S.resampling_weights(rollouts(spark, folder), "score", "pow"), "row_id", "weight")
+
+
+@query("SELECT p_partkey, (row_number() OVER (ORDER BY md5('42:' || p_partkey), p_partkey) - 1) // 128 AS batch FROM part QUALIFY (row_number() OVER (ORDER BY md5('42:' || p_partkey), p_partkey) - 1) // 128 < count(*) OVER () // 128")
+def shuffled_batches(spark, folder):
+    return S.batch_numbers(table(spark, folder, "part").select("p_partkey"), "p_partkey", 128)
+
+
+@query("SELECT coalesce(source, '') AS source, least(count(*), ceil(sum(coalesce(length(text), 0)) / 4096.0))::BIGINT AS n FROM documents GROUP BY ALL")
+def microbatch_count(spark, folder):
+    d = table(spark, folder, "documents").select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
+    return B.micro_batch_counts(d, "source", "n_chars", 4096)
+
+
+@query()
+def kk_partitions(spark, folder):
+    """Batches of 64 orders in 8 parts of equal size and similar price."""
+    o = table(spark, folder, "orders").select("o_orderkey", F.col("o_totalprice").cast("bigint").alias("len"), F.expr("o_orderkey div 64").alias("batch"))
+    full = o.groupBy("batch").agg(F.count("*").alias("n")).where("n = 64").select("batch")
+    return B.balanced(o.join(full, "batch", "left_semi"), "batch", "o_orderkey", "len", 8, equal_size=True)
+
+
+@query("SELECT sum(w)::BIGINT AS n, count(*) AS n_rows FROM (SELECT 1 AS w FROM embeddings)")
+def cached_responses(spark, folder):
+    """Requests without a cached response, by anti-join: here none is cached."""
+    e = table(spark, folder, "embeddings").select("vec_id")
+    todo = e.join(e.where("vec_id < 0"), "vec_id", "left_anti")
+    return todo.agg(F.count("*").alias("n"), F.count("vec_id").alias("n_rows"))
+
+
+@query("SELECT request_id, rollout_offset, batch_data_id, row_number() OVER (PARTITION BY batch_data_id ORDER BY rollout_offset, request_id) AS place FROM (SELECT DISTINCT request_id, rollout_offset, batch_data_id FROM rollout_requests)")
+def restore_order(spark, folder):
+    """Finished requests back in the order of their batch."""
+    r = table(spark, folder, "rollout_requests").select("request_id", "rollout_offset", "batch_data_id").distinct()
+    return r.withColumn("place", F.row_number().over(Window.partitionBy("batch_data_id").orderBy("rollout_offset", "request_id")).cast("bigint"))
