@@ -188,3 +188,29 @@ def output_comparators(spark, folder):
     e = table(spark, folder, "executions").dropDuplicates(["task_id", "sol_idx", "test_idx"])
     t = E.tests_from_json(table(spark, folder, "tasks"))
     return e.join(t, ["task_id", "test_idx"]).select("task_id", "sol_idx", "test_idx", E.outputs_match("stdout", "expected").alias("matches"))
+
+
+_MADE = "Write tests.\n{problem_query}"
+
+
+@query(
+    """WITH t AS (SELECT task_id, question, solutions FROM tasks WHERE json_valid(input_output) AND NOT list_contains(json_keys(input_output), 'fn_name') AND json_valid(solutions) AND json_array_length(solutions) > 0)
+    SELECT task_id, 'Write tests.' || chr(10) || question AS user, least(8, json_array_length(solutions))::INT AS n_candidates,
+    CASE WHEN row_number() OVER (ORDER BY md5('42:' || task_id), task_id) <= 50 THEN 'test' ELSE 'train' END AS split FROM t"""
+)
+def pipeline_test_generation(spark, folder):
+    from quillon.plans.pipelines import test_generation_rows
+
+    r = test_generation_rows(table(spark, folder, "tasks"), _MADE, "You write tests.", test_size=50)
+    return r.select("task_id", F.element_at("prompt", 2)["content"].alias("user"), F.size("candidates").alias("n_candidates"), "split")
+
+
+@query(
+    """WITH t AS (SELECT task_id, question, least(json_array_length(input_output, '$.inputs'), json_array_length(input_output, '$.outputs'))::INT AS n FROM tasks WHERE json_valid(input_output) AND NOT list_contains(json_keys(input_output), 'fn_name'))
+    SELECT task_id, n AS n_tests, CASE WHEN row_number() OVER (ORDER BY md5('42:' || task_id), task_id) <= 50 THEN 'test' ELSE 'train' END AS split FROM t WHERE n > 0"""
+)
+def pipeline_code_generation(spark, folder):
+    from quillon.plans.pipelines import code_generation_rows
+
+    r = code_generation_rows(table(spark, folder, "tasks"), _MADE, "You write code.", test_size=50)
+    return r.select("task_id", F.size("gt_tests").alias("n_tests"), "split")
