@@ -119,3 +119,26 @@ def same_udf(given: pd.Series, gold: pd.Series) -> pd.Series:
 @F.pandas_udf(BooleanType())
 def parses_udf(code: pd.Series) -> pd.Series:
     return code.map(parses)
+
+
+def labelled_case(text: str | None) -> tuple[str | None, str | None]:
+    """(input, output) of a response in the labelled form: the last fenced block after each label, else the plain text
+    up to the next label; quotes and white space at the ends go. (None, None) where a label is missing."""
+    if not text:
+        return None, None
+    fenced = [re.findall(rf"\*\*Test {label}:?\*\*\s*```(?:plaintext\n)?(.*?)```", text, re.S) for label in ("Input", "Output")]
+    if not all(fenced):
+        fenced = [re.findall(rf"\*\*Test {label}:?\*\*\s*(.*?)(?=\*\*Explanation|\*\*Test|\Z)", text, re.S) for label in ("Input", "Output")]
+    if not all(fenced):
+        return None, None
+    return tuple(x[-1].replace("\\n", "\n").strip().strip('"').strip() for x in fenced)
+
+
+@F.pandas_udf(StringType())
+def labelled_input_udf(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: labelled_case(t)[0])
+
+
+@F.pandas_udf(StringType())
+def labelled_output_udf(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: labelled_case(t)[1])

@@ -122,3 +122,15 @@ def code_language(code: Column) -> Column:
 def token_estimate(text: Column) -> Column:
     """Words as a stand-in for tokens, for length filters."""
     return F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
+
+
+# Signs of the two generations of Python.
+PYTHON2_SIGNS = [r"(?m)^\s*print\s+[^(\s]", r"\braw_input\s*\(", r"\bxrange\s*\(", r"\.has_key\s*\(", r"\bexcept\s+\w+\s*,\s*\w+\s*:", r"\biteritems\s*\(", r"<>", r"\bunicode\s*\("]
+PYTHON3_SIGNS = [r"\bprint\s*\(", r"\bf[\"']", r"->\s*\w+\s*:", r"\bnonlocal\b", r"\basync\s+def\b", r"\bexcept\s+\w+\s+as\s+\w+\s*:", r":=", r"\byield\s+from\b"]
+
+
+def python_version(code: Column) -> Column:
+    """python2, python3 or python by the signs of either; python where they balance."""
+    votes = lambda signs: sum((code.rlike(p).cast("int") for p in signs), F.lit(0))
+    two, three = votes(PYTHON2_SIGNS), votes(PYTHON3_SIGNS)
+    return F.when(code.isNull(), None).when(two > three, "python2").when(three > two, "python3").otherwise("python")

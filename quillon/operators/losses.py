@@ -159,3 +159,15 @@ def token_logp(logits: Column, label: Column) -> Column:
     """Log-probability of the label (0-based) under an array of logits."""
     top = F.array_max(logits)
     return F.get(logits, label) - top - F.log(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+
+
+def reward_model_loss(q: Column, acc: Column, beta: float) -> Column:
+    """Binary cross-entropy of sigmoid(beta q) against acc, in the form that doesn't overflow."""
+    z = beta * q
+    return F.greatest(z, F.lit(0.0)) - z * acc + F.log1p(F.exp(-F.abs(z)))
+
+
+def detached_preference_loss(q: Column, other: Column, acc: Column, beta: float) -> Column:
+    """-log sigmoid(beta (q - other) ±1), the sign by whether acc is positive; other is the other side's mean."""
+    z = beta * (q - other) * F.when(acc > 0, 1.0).otherwise(-1.0)
+    return F.log1p(F.exp(-F.abs(z))) + F.greatest(-z, F.lit(0.0))

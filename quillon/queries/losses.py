@@ -159,3 +159,13 @@ def overlong_penalty(spark, folder):
 def entropy_from_logits(spark, folder):
     e = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("z"))
     return e.select("vec_id", rounded(L.entropy(F.col("z"))).alias("entropy"), rounded(L.token_logp(F.col("z"), (F.abs("vec_id") % 64).cast("int"))).alias("logp"))
+
+
+@query(
+    ROLLOUTS + """, x AS (SELECT *, (row_id % 3) / 2.0 AS acc FROM ro), o AS (SELECT a.row_id, any_value(a.score) AS score, any_value(a.acc) AS acc, coalesce(avg(b.score), 0) AS other FROM x a LEFT JOIN x b ON a.uid = b.uid AND CASE WHEN a.acc > 0 THEN b.acc < a.acc ELSE b.acc > a.acc END GROUP BY a.row_id)
+    SELECT row_id, round(ln(1 + exp(0.1 * score)) - 0.1 * score * acc, 6) AS ce, round(ln(1 + exp(-0.1 * (score - other) * CASE WHEN acc > 0 THEN 1 ELSE -1 END)), 6) AS detached FROM o"""
+)
+def reward_model_losses(spark, folder):
+    r = L.other_mean(rollouts(spark, folder).withColumn("acc", (F.col("row_id") % 3) / 2.0), "uid", "score", "acc")
+    q, acc = F.col("score"), F.col("acc")
+    return r.select("row_id", rounded(L.reward_model_loss(q, acc, 0.1)).alias("ce"), rounded(L.detached_preference_loss(q, F.col("other_q"), acc, 0.1)).alias("detached"))

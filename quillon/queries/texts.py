@@ -117,8 +117,8 @@ def syntax_check(spark, folder):
 
 @query()
 def lang_detect(spark, folder):
-    code = text.fenced_code(F.col("content"))
-    return answers(spark, folder).select("message_id", text.code_language(code).alias("language")).where("language is not null")
+    code = answers(spark, folder).select("message_id", text.fenced_code(F.col("content")).alias("code")).where("code is not null")
+    return code.select("message_id", text.code_language(F.col("code")).alias("language"))
 
 
 SFT = "WITH s AS (SELECT sample_id, messages FROM sft_train_codegen WHERE messages IS NOT NULL)"
@@ -187,3 +187,31 @@ def option_cleaning(spark, folder):
 def shortened_text(spark, folder):
     m = table(spark, folder, "messages").where("content is not null")
     return m.select("message_id", text.shortened(F.col("content")).alias("shown"), F.md5("content").alias("digest"))
+
+
+@query(
+    f"WITH s AS ({_SYN}), r AS (SELECT event_id, t, CASE event_id % 3 WHEN 0 THEN 'hash' WHEN 1 THEN 'choice' ELSE 'label_' || (event_id % 5) END AS data_source FROM s) "
+    + r"""SELECT event_id, data_source, (CASE WHEN data_source = 'hash' THEN CASE WHEN regexp_replace(regexp_extract(t, '#### (-?[0-9.,]+)', 1), '[,$]', '', 'g') = '1234000' THEN 1.0 ELSE 0.1 END
+    WHEN data_source = 'choice' THEN CASE WHEN regexp_extract(t, '(?i)Answer[ \t]*:[ \t]*\$?([A-D])\$?', 1) = '1234000' THEN 1.0 ELSE 0.0 END
+    ELSE CASE WHEN trim(coalesce(regexp_extract_all(right(t, 300), '(?i)Answer\s*:\s*([^\n]+)', 1)[-1], '')) = '1234000' THEN 1.0 ELSE -1.0 END END)::DOUBLE AS score FROM r"""
+)
+def score_by_source(spark, folder):
+    from quillon.operators.scorers import Scorers, choice_match, labelled_match, number_match
+
+    source = F.when(F.col("event_id") % 3 == 0, "hash").when(F.col("event_id") % 3 == 1, "choice").otherwise(F.concat(F.lit("label_"), (F.col("event_id") % 5).cast("string")))
+    rows = _synthetic(spark, folder).select("event_id", source.alias("data_source"), F.col("t").alias("response"), F.lit("1234000").alias("truth"))
+    s = Scorers().add("hash", number_match(format_score=0.1)).add("choice", choice_match).add("label_*", labelled_match)
+    return s.score(rows).select("event_id", "data_source", "score")
+
+
+@query()
+def python_versions(spark, folder):
+    code = answers(spark, folder).select("message_id", text.fenced_code(F.col("content")).alias("code")).where("code is not null")
+    return code.select("message_id", text.python_version(F.col("code")).alias("version"))
+
+
+@query()
+def labelled_case_extract(spark, folder):
+    t = F.concat(F.lit("**Test Input:**\n```plaintext\n"), F.col("user_id").cast("string"), F.lit("\n```\n**Test Output:**\n```"), F.col("event_type"), F.lit("```"))
+    e = table(spark, folder, "events").select("event_id", t.alias("t"))
+    return e.select("event_id", X.labelled_input_udf("t").alias("input"), X.labelled_output_udf("t").alias("output"))

@@ -77,3 +77,21 @@ def test_stream_accumulates(spark, tmp_path):
     s = spark.readStream.schema("id long, uid long").parquet(src)
     accumulate_until_full(s, str(tmp_path / "o"), "uid", 3, str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "o" / "full")).select("uid").distinct().count() == 3
+
+
+def test_scorers(spark):
+    from quillon.operators.scorers import Scorers, choice_match, number_match
+
+    df = spark.createDataFrame([("a", "#### 5", "5"), ("a", "none", "5"), ("bx", "Answer: C", "C"), ("bx", None, "C")], "data_source string, response string, truth string")
+    s = Scorers().add("b*", choice_match).add("a", number_match())
+    assert [r.score for r in s.score(df).collect()] == [1.0, 0.0, 1.0, 0.0]
+    other = df.withColumn("data_source", F.lit("c"))
+    assert s.score(other, strict=False).where("score is null").count() == 4
+    with pytest.raises(Exception, match="no scorer"):
+        s.score(other).collect()
+
+
+def test_labelled_cases():
+    assert X.labelled_case('**Test Input:**\n```plaintext\n1\\n2\n```\n**Test Output:**\n```"x"```') == ("1\n2", "x")
+    assert X.labelled_case("**Test Input:** 3\n**Test Output:** 4\n**Explanation:** y") == ("3", "4")
+    assert X.labelled_case("nothing") == (None, None) and X.labelled_case(None) == (None, None)
