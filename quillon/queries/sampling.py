@@ -91,12 +91,14 @@ def kk_partitions(spark, folder):
     return B.balanced(o.join(full, "batch", "left_semi"), "batch", "o_orderkey", "len", 8, equal_size=True)
 
 
-@query("SELECT sum(w)::BIGINT AS n, count(*) AS n_rows FROM (SELECT 1 AS w FROM embeddings)")
-def cached_responses(spark, folder):
-    """Requests without a cached response, by anti-join: here none is cached."""
-    e = table(spark, folder, "embeddings").select("vec_id")
-    todo = e.join(e.where("vec_id < 0"), "vec_id", "left_anti")
-    return todo.agg(F.count("*").alias("n"), F.count("vec_id").alias("n_rows"))
+@query("SELECT DISTINCT request_id, batch_data_id FROM rollout_requests WHERE request_id NOT IN (SELECT request_id FROM messages WHERE lower(trim(role)) = 'assistant' AND request_id IS NOT NULL)")
+def uncached_requests(spark, folder):
+    """Requests without a recorded response."""
+    from quillon.functions.columns import stripped
+    from quillon.sources.io import missing
+
+    requests = table(spark, folder, "rollout_requests").select("request_id", "batch_data_id").distinct()
+    return missing(requests, table(spark, folder, "messages").where(F.lower(stripped("role")) == "assistant").select("request_id"), "request_id")
 
 
 @query("SELECT request_id, rollout_offset, batch_data_id, row_number() OVER (PARTITION BY batch_data_id ORDER BY rollout_offset, request_id) AS place FROM (SELECT DISTINCT request_id, rollout_offset, batch_data_id FROM rollout_requests)")
