@@ -9,7 +9,7 @@ from quillon.plans.staging import release, stage
 
 def test_stage_and_release(spark):
     df = stage(spark.range(5), "numbers")
-    assert df.count() == 5 and df.schema == spark.range(1).schema
+    assert df.count() == 5 and df.dtypes == spark.range(1).dtypes
     path = df.inputFiles()[0]
     release(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
