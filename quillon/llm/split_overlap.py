@@ -1,27 +1,24 @@
 """Records of evaluation splits that also occur, exactly or almost, in the training split.
 
-A record's fields become sequences of tokens: the words of its user message, and its distinct tests in a fixed order.
-Equal sequences are one node. The nodes' sequences make up the concatenated text; its suffixes are partitioned by their
-first L tokens, so that suffixes with a common prefix of L or more meet in one partition, and sorted there: the merge
-join over the sorted suffixes pairs those of the training side with those of the evaluation side that are adjacent up to
-their common prefix. A pair is taken only where the token before differs, so each shared span shows up once, at its
-start, however long it is.
-
-L is a bound, not a guess. If two texts share at least the share t of all their distinct runs of w words, then each
-break between two shared spans leaves at least 2(w - 1) runs unshared, so there are at most (1 - t)U / 2(w - 1) breaks
-among U runs, and the longest span has t U / (breaks + 1) runs at least. For t = 0.7 and w = 3 that is 9 words from 27
-runs on and 5 words below (texts of up to four words must be equal). Tests compare as sets, so their order is fixed by
-hash; at a share of 0.8, two of them stand next to each other in any pair.
-
-Frequent phrases don't expand into pairs of texts that are merely built alike: the join condition holds an upper bound
-of the similarity (from the numbers of shingles and 256-bit parity maps of the shingle sets, whose differing bits are
-at most the differing shingles), which drops no pair that reaches the threshold. What passes is verified exactly, and
-the shared spans are merged into the coverage of the evaluation record.
+A record's fields become sequences of tokens: the words of its user message, and its distinct tests. Equal sequences are
+one node, whose set holds its distinct runs of `width` words, or its tests.
+
+Candidates come from a prefix filter, a bound on sets that holds however often runs recur and in whatever order they
+stand. All members of all sets have one global order; if two sets reach the similarity t, they share t of each one's n
+members at least, so the first n - ceil(t n) + 1 members of both have one in common. The join is on these first members.
+Any order is right; the one taken puts rare members first, by how many members of all sets fall into the same of
+BUCKETS buckets, so that the phrases of a repeated frame are joined on only where a text has nothing rarer.
+
+Frequent phrases don't expand into pairs of texts that are merely built alike: the join condition holds two upper bounds
+of the similarity, neither of which drops a pair that reaches the threshold at its first common member: what can still be
+shared from the two places in the order on, and 256-bit parity maps of the sets, whose differing bits are at most the
+differing members. What passes is verified exactly; the shared spans make up the coverage of the evaluation record.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -35,9 +32,10 @@ from quillon.llm.words import Hashes, hashed, jaccard, mix, shingles, words
 from quillon.plans.staging import stage
 
 LINE = re.compile(r"\r\n|\r|\n")
-LONG, SHORT = 9, 5  # words of a shared span
-LONG_FROM, SHORT_TO = 18, 27  # distinct shingles of a text; both kinds of spans are taken in between
+LONG, SHORT = 9, 5  # words of a span that counts as shared in the coverage
+LONG_FROM = 29  # words of a text whose spans are LONG
 MAP_BITS = 256
+BUCKETS, BLOCK = 1 << 18, 1 << 12  # of the counts behind the global order, and of those in one row
 
 
 def test_text(x) -> str:
@@ -84,24 +82,52 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _suffixes(width: int):
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (mix(s) >> np.uint64(20)).astype(np.int64) % BUCKETS
+
+
+def _counted(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for field, seq in zip(batch["field"], batch["seq"]):
+                np.add.at(n, _bucket(_set(field, np.frombuffer(seq, np.uint64), width)), 1)
+        blocks = n.reshape(-1, BLOCK)
+        at = np.flatnonzero(blocks.any(axis=1))
+        yield pd.DataFrame({"block": at.astype(np.int32), "counts": [blocks[k].tobytes() for k in at]})
+
+    return run
+
+
+def _summed(blocks: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum([np.frombuffer(x, np.int64) for x in blocks["counts"]], axis=0)
+    return pd.DataFrame({"block": blocks["block"].iloc[:1], "counts": [total.tobytes()]})
+
+
+def member_counts(nodes: DataFrame, width: int) -> np.ndarray:
+    """How many members of the nodes' sets fall into each bucket; of a fixed size, whatever the table's."""
+    found = nodes.select("field", "seq").mapInPandas(_counted(width), "block int, counts binary")
+    n = np.zeros((BUCKETS // BLOCK, BLOCK), np.int64)
+    for r in found.groupBy("block").applyInPandas(_summed, "block int, counts binary").collect():
+        n[r.block] = np.frombuffer(r.counts, np.int64)
+    return n.ravel()
+
+
+def _prefixes(width: int, near: dict[str, float], counts):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = []
             for node, field, seq in zip(batch["node"], batch["field"], batch["seq"]):
-                seq = np.frombuffer(seq, np.uint64)
-                s = _set(field, seq, width)
-                m = parity(s)
-                lengths = [2] if field == "tests" else [n for n, use in ((LONG, len(s) >= LONG_FROM), (SHORT, len(s) < SHORT_TO)) if use]
-                for n in lengths:
-                    key = shingles(seq, n) + np.uint64(n)
-                    if len(key):
-                        prev = np.concatenate([[np.uint64(0)], seq[: len(key) - 1]])
-                        parts.append((node, len(s), m, key.view(np.int64), (prev & np.uint64(0x7FFFFFFF)).astype(np.int32), field == "user"))
+                s = _set(field, np.frombuffer(seq, np.uint64), width)
+                if len(s):
+                    m = parity(s)
+                    n = len(s) - max(1, math.ceil(near[field] * len(s) - 1e-6)) + 1
+                    key = s[np.lexsort((s, counts.value[_bucket(s)]))[:n]]
+                    parts.append((node, len(s), m, key.view(np.int64), np.arange(n, dtype=np.int32), field == "user"))
             if parts:
                 n = [len(p[3]) for p in parts]
                 yield pd.DataFrame(
-                    {"key": np.concatenate([p[3] for p in parts]), "text": np.repeat([p[5] for p in parts], n), "node": np.repeat([p[0] for p in parts], n), "prev": np.concatenate([p[4] for p in parts]), "size": np.repeat(np.array([p[1] for p in parts], np.int32), n)}
+                    {"key": np.concatenate([p[3] for p in parts]), "text": np.repeat([p[5] for p in parts], n), "node": np.repeat([p[0] for p in parts], n), "place": np.concatenate([p[4] for p in parts]), "size": np.repeat(np.array([p[1] for p in parts], np.int32), n)}
                     | {f"m{k}": np.repeat([p[2][k] for p in parts], n) for k in range(4)}
                 )
 
@@ -128,7 +154,7 @@ def _verify(width: int, near: dict[str, float]):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 j = jaccard(_set(field, x, width), _set(field, y, width))
                 if j >= near[field] - 1e-12:
-                    n = 2 if field == "tests" else LONG if len(y) >= SHORT_TO + 2 else SHORT
+                    n = 2 if field == "tests" else LONG if len(y) >= LONG_FROM else SHORT
                     out.append((a, b, field, j, coverage(x, y, n)))
             yield pd.DataFrame(out, columns=["a", "b", "field", "similarity", "coverage"]).astype({"a": "int64", "b": "int64", "field": "object", "similarity": "float64", "coverage": "float64"})
 
@@ -157,20 +183,22 @@ class SplitOverlap:
         )
         nodes = stage(nodes.withColumn("node", F.xxhash64("field", "h0", "h1")), "sequence-nodes")
         self.members = seqs.select("id", "trained", F.xxhash64("field", "h0", "h1").alias("node")).distinct()
-        shape = "key long, text boolean, node long, prev int, size int, m0 long, m1 long, m2 long, m3 long"
+        shape = "key long, text boolean, node long, place int, size int, m0 long, m1 long, m2 long, m3 long"
+        counts = df.sparkSession.sparkContext.broadcast(member_counts(nodes, width))
 
-        def suffixes(side: str, end: str) -> DataFrame:
-            found = nodes.where(side).select("node", "field", "seq").mapInPandas(_suffixes(width), shape)
-            return found.select("key", "text", *(F.col(c).alias(c + end) for c in ("node", "prev", "size", "m0", "m1", "m2", "m3")))
+        def prefixes(side: str, end: str) -> DataFrame:
+            found = nodes.where(side).select("node", "field", "seq").mapInPandas(_prefixes(width, near, counts), shape)
+            return found.select("key", "text", *(F.col(c).alias(c + end) for c in ("node", "place", "size", "m0", "m1", "m2", "m3")))
 
-        a, b = suffixes("train", "_a"), suffixes("held", "_b").drop("text")
+        a, b = prefixes("train", "_a"), prefixes("held", "_b")
         differing = sum((F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(4)), F.lit(0))
         total = F.col("size_a") + F.col("size_b")
         t = F.when(F.col("text"), F.lit(text_threshold)).otherwise(F.lit(tests_threshold))
-        may_reach = differing <= total * (1 - t) / (1 + t) + 1e-9
+        left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+        may_reach = (left >= total * t / (1 + t) - 1e-6) & (differing <= total * (1 - t) / (1 + t) + 1e-6)
         pairs = (
-            a.join(b, "key")
-            .where((F.col("node_a") != F.col("node_b")) & ((F.col("prev_a") != F.col("prev_b")) | (F.col("prev_a") == 0)) & may_reach)
+            a.join(b, ["key", "text"])
+            .where((F.col("node_a") != F.col("node_b")) & may_reach)
             .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
             .distinct()
         )

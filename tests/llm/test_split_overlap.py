@@ -63,6 +63,35 @@ def test_dirty_rows(spark):
     assert SplitOverlap(df.limit(0), "id", "text", "tests", "trained").pairs().count() == 0
 
 
+def test_reordered_items_of_a_frame(spark):
+    """Similar at 0.95 without a common run of 9 words; and equal sets of runs in two orders."""
+    rng = random.Random(3)
+    items = [f"add {w} to list" for w in W[:14]]
+    other = rng.sample(items, len(items))
+    data = [(1, " ".join(items), None, True), (2, " ".join(other), None, False), (3, "go on go on go on", None, True), (4, "on go on go on go on", None, False), (5, " ".join(f"add {w} to list" for w in W[20:34]), None, True)]
+    seqs = [words(d[1]) for d in data[:2]]
+    runs = [{tuple(w[k : k + 9]) for k in range(len(w) - 8)} for w in seqs]
+    assert not runs[0] & runs[1]
+    o = SplitOverlap(spark.createDataFrame(data, "id long, text string, tests string, trained boolean"), "id", "text", "tests", "trained", width=3, text_threshold=0.7)
+    assert {tuple(r) for r in o.pairs().collect()} == by_pairs(data) == {(1, 2), (3, 4)}
+
+
+def test_against_all_pairs_of_reordered_frames(spark):
+    rng = random.Random(11)
+    data = []
+    for _ in range(30):
+        frame = rng.choice(["add {} to list", "is {} in the set", "{} then", "print {} and stop now please"])
+        items = [frame.format(rng.choice(W[:40])) for _ in range(rng.choice([3, 6, 12, 30]))]
+        for _ in range(3):
+            some = rng.sample(items, len(items) - rng.randrange(2))
+            data.append((len(data), " ".join(some), None, rng.random() < 0.5))
+    for t in (0.5, 0.7):
+        o = SplitOverlap(spark.createDataFrame(data, "id long, text string, tests string, trained boolean"), "id", "text", "tests", "trained", width=3, text_threshold=t)
+        tri = {i: set(zip(w, w[1:], w[2:])) for i, x, *_ in data for w in [words(x)]}
+        want = {(min(i, j), max(i, j)) for i, *_, a in data for j, *_, b in data if a and not b and len(tri[i] & tri[j]) >= t * len(tri[i] | tri[j])}
+        assert {tuple(r) for r in o.pairs().collect()} == want and len(want) > 20
+
+
 def test_tests_are_compared_by_their_lines():
     a = tests_of(json.dumps({"inputs": ["1 2\r\n3 \n", ["x", "y"]], "outputs": ["\n7", "z "]}))
     b = tests_of(json.dumps({"outputs": [["7"], "z"], "inputs": ["1 2\n3", " x\ny\n\n"], "more": None}))
