@@ -282,32 +282,34 @@ class Model:
 
 
 def _candidates(model: Model, s: str, odd: set[str]) -> Iterator[tuple[tuple[tuple[str, str], ...], str]]:
-    """(chains, passage restored) wherever at most half of the odd pairs remain."""
-    most = len(odd) // 2
-    signs = {c for f in odd for c in f if c >= "\x80"}
-    from_codec = {w for w in SINGLE if 2 * len(signs & _upper(w)) >= len(signs)}
+    """(chains, passage restored) wherever fewer odd pairs remain.
+
+    A chain is passed over unapplied only where it can't lower their number: it changes no odd character, or turns no
+    odd pair into a usual one and no two odd characters into the same.
+    """
+    signs = "".join({c for f in odd for c in f if c >= "\x80"})
+    from_codec = {w for w in SINGLE if not _upper(w).isdisjoint(signs)}
     for chain in UTF8_CHAINS if may_be_encoded(s) else ():
         if (t := apply(chain, s)) == s:
             continue
-        if len(model.odd(t)) <= most:
+        if len(model.odd(t)) < len(odd):
             yield (chain,), t
-            continue
         for second in UTF8_CHAINS:  # encoded twice
-            if (u := apply(second, t)) != t and len(model.odd(u)) <= most:
+            if (u := apply(second, t)) != t and len(model.odd(u)) < len(odd):
                 yield (chain, second), u
-    for k in np.flatnonzero(2 * sum(model.helped(f) for f in odd) >= len(odd)):
-        chain = TABLE_CHAINS[k]
-        if chain[0] in from_codec and len(model.odd(t := apply(chain, s))) <= most:
+    helps = sum(model.helped(f) for f in odd)
+    for k, chain in enumerate(TABLE_CHAINS):
+        if chain[0] not in from_codec or not helps[k] and len(set(signs.translate(_table(*chain)))) == len(signs):
+            continue
+        if len(model.odd(t := apply(chain, s))) < len(odd):
             yield (chain,), t
-    foreign = 2 * sum(c > "\u0250" for c in signs) >= len(signs)
-    wide = any(min(f) >= "\x80" for f in odd)  # multi-byte characters leave several signs in a row
-    for chain in BYTE_CHAINS if wide else ():
-        if chain[0] not in from_codec if chain[0] in SINGLE else not foreign:
+    for chain in BYTE_CHAINS:
+        if chain[0] in SINGLE and chain[0] not in from_codec:
             continue
         t = apply(chain, s)
         if chain[1] in MULTI and 2 * len("".join(CJK_RUN.findall(t))) < len(CJK.findall(t)):
             continue  # lone ideographs inside words of another script
-        if t != s and t.count("\ufffd") <= s.count("\ufffd") + len(t) // 25 and len(model.odd(t)) <= most:
+        if t != s and t.count("\ufffd") <= s.count("\ufffd") + len(t) // 25 and len(model.odd(t)) < len(odd):
             yield (chain,), t
 
 
@@ -325,9 +327,10 @@ def judge(model: Model, text: str, chain_cost: int = 3, rounds: int = 4) -> tupl
                 for chains, t in _candidates(model, s, odd):
                     found.setdefault(chains, {})[k] = t
         best, most = None, 0
+        size = lru_cache(maxsize=None)(model.size)  # chains often restore a passage alike
         for chains, new in found.items():
             old = "".join(segments[k] for k in new)
-            gain = model.size(old) - model.size("".join(new.values())) - chain_cost * len(chains)
+            gain = size(old) - size("".join(new.values())) - chain_cost * len(chains)
             if gain > most:
                 best, most = chains, gain
         if best is None:
