@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillon.operators.sampling import with_position
+
 
 def trailing_counts(events: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
     """events with n_trailing: how many of the key's events lie in the last `seconds` up to each.
@@ -49,19 +51,34 @@ def tool_penalties(stream: DataFrame, key: str) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(_tool_state, "key long, event_id long, penalty double", "best double", "append", GroupStateTimeout.NoTimeout)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def accumulate_until_full(stream: DataFrame, path: str, group: str, size: int, checkpoint: str):
     """Write batches of `size` distinct groups below path as the stream delivers them; the rest waits for more.
 
-    Each micro-batch is kept under its own number, so that a batch run twice after a failure overwrites itself.
+    Each micro-batch is kept under its own number and writes all batches that are full by then, the groups that came
+    first before others, as full/step=<its number> with the batch's number in the column part. A group's rows up to the
+    step that delivers it are delivered with it, once; later rows of it wait as a group of their own. What waits is
+    told by earlier steps alone, so that a micro-batch run twice after a failure overwrites itself.
     """
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{path}/pending/batch={number}")
-        waiting = spark.read.parquet(f"{path}/pending")
-        groups = waiting.select(group).distinct()
-        if groups.count() >= size:
-            chosen = groups.orderBy(group).limit(size)
-            waiting.join(chosen, group, "left_semi").drop("batch").write.mode("overwrite").parquet(f"{path}/full/step={number}")
+        key = batch.schema[group].dataType.simpleString()
+        waiting = spark.read.parquet(f"{path}/pending").where(F.col("batch") <= number)
+        if _exists(spark, f"{path}/full"):
+            full = spark.read.schema(f"`{group}` {key}, step long").parquet(f"{path}/full").where(F.col("step") < number)
+            last = full.groupBy(F.col(group).alias("_g")).agg(F.max("step").alias("_step"))
+            waiting = waiting.join(last, F.col(group).eqNullSafe(F.col("_g")) & (F.col("batch") <= F.col("_step")), "left_anti")
+        groups = waiting.groupBy(F.col(group).alias("_g")).agg(F.min("batch").alias("_first"))
+        n = groups.count() // size
+        if n or _exists(spark, f"{path}/full/step={number}"):
+            placed = with_position(groups, ["_first", "_g"], "_at").where(F.col("_at") < n * size)
+            chosen = placed.select("_g", F.floor(F.col("_at") / size).alias("part"))
+            waiting.join(chosen, F.col(group).eqNullSafe(F.col("_g"))).drop("batch", "_g").write.mode("overwrite").parquet(f"{path}/full/step={number}")
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

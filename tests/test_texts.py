@@ -79,6 +79,27 @@ def test_stream_accumulates(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o" / "full")).select("uid").distinct().count() == 3
 
 
+def test_stream_delivers_each_group_once(spark, tmp_path):
+    from quillon.streaming.windows import accumulate_until_full
+
+    def arrive(first, last):
+        spark.range(first, last).selectExpr("id", "id div 2 as uid").coalesce(1).write.mode("append").parquet(src)
+        s = spark.readStream.schema("id long, uid long").parquet(src)
+        accumulate_until_full(s, str(tmp_path / "o"), "uid", 3, str(tmp_path / "c")).awaitTermination()
+        rows = spark.read.parquet(str(tmp_path / "o" / "full")).collect()
+        batches = {}
+        for r in rows:
+            batches.setdefault((r.step, r.part), set()).add(r.uid)
+        assert all(len(b) == 3 for b in batches.values())
+        return sorted(r.id for r in rows)
+
+    src = str(tmp_path / "src")
+    assert arrive(0, 16) == list(range(12))  # 8 groups: two batches at once, two groups wait
+    assert arrive(16, 18) == list(range(18))
+    assert arrive(18, 22) == list(range(18))
+    assert arrive(22, 26) == list(range(24))
+
+
 def test_scorers(spark):
     from quillon.operators.scorers import Scorers, choice_match, number_match
 
