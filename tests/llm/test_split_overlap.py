@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from quillon.llm.split_overlap import SplitOverlap, coverage, parity, test_text, tests_of
+from quillon.llm.split_overlap import SplitOverlap, parity, shared_runs, spans, test_text, tests_of
 from quillon.llm.words import words
 
 test_text.__test__ = tests_of.__test__ = False
@@ -110,7 +110,35 @@ def test_parity_bounds_the_difference():
         assert differing <= len(np.setxor1d(x, y))
 
 
-def test_coverage():
+def test_spans():
     x = np.arange(1, 30, dtype=np.uint64)
-    assert coverage(x, x[:10], 5) == 1 and coverage(x, np.arange(100, 120, dtype=np.uint64), 5) == 0
-    assert coverage(x, np.concatenate([x[:6], x[20:22]]), 5) == 0.75
+    assert spans(x, x[:10], 5) == [(0, 10)] and spans(x, np.arange(100, 120, dtype=np.uint64), 5) == []
+    assert spans(x, np.concatenate([x[:6], x[20:22]]), 5) == [(0, 6)]
+    assert spans(x, x[:3], 5) == [] and spans(x[:3], x[:3], 5) == [(0, 3)]
+
+
+def test_coverage_is_merged_over_partners(spark):
+    """Neither training row covers the held-out one alone."""
+    w = W[:60]
+    data = [(1, " ".join(w[:50] + W[100:110]), None, True), (2, " ".join(W[120:130] + w[10:]), None, True), (3, " ".join(w), None, False)]
+    df = spark.createDataFrame(data, "id long, text string, tests string, trained boolean")
+    o = SplitOverlap(df, "id", "text", "tests", "trained", width=3, text_threshold=0.7)
+    assert [(r.id, r.by_text, r.by_tests, r.coverage) for r in o.overlapping().collect()] == [(3, True, False, 1.0)]
+    alone = SplitOverlap(df.where("id <> 2"), "id", "text", "tests", "trained", width=3, text_threshold=0.7)
+    assert [r.coverage for r in alone.overlapping().collect()] == [50 / 60]
+
+
+def test_runs_across_ranges(spark):
+    """A run longer than a range, with one suffix of the other split at its end; runs of one split only."""
+    rows = [(7, b"a", 1)] * 3000 + [(7, b"b", 2)] + [(8, b"a", 1)] * 50 + [(9, b"z", 3)] + [(10, bytes([k]), 1 + k % 2) for k in range(9)]
+    df = spark.createDataFrame([(k, bytearray(t), s) for k, t, s in rows], "key long, tail binary, side byte")
+    assert sorted(r.key for r in shared_runs(df).collect()) == [7, 9, 10]
+    assert shared_runs(df.limit(0)).count() == 0
+
+
+def test_a_frame_shared_by_all_rows(spark):
+    rng = random.Random(2)
+    frame = "write a program that reads one line and prints the answer for"
+    data = [(k, f"{frame} {rng.choice(W)} {rng.choice(W)}", None, k % 3 > 0) for k in range(400)]
+    o = SplitOverlap(spark.createDataFrame(data, "id long, text string, tests string, trained boolean"), "id", "text", "tests", "trained", width=3, text_threshold=0.7)
+    assert {tuple(r) for r in o.pairs().collect()} == by_pairs(data)
