@@ -7,9 +7,13 @@ result over all languages, plus the chain's own cost, is shorter than that of th
 stays unchanged. What looks odd is what a table of usual character pairs doesn't hold, and what is valid UTF-8 once
 encoded as `wrong`; the table only spares the compressor candidates that leave as many odd pairs as there were.
 
-Dictionaries and table are fitted on a bounded sample, `per_language` texts for each language label; every text is then
-judged, whole. U+FFFD next to a letter or to another of its kind is a decoding error whose bytes are lost: such a text is
-affected, and restored only as far as a chain goes.
+Dictionaries and table are fitted on a bounded sample: `per_text` passages of each of about `per_language` distinct texts
+for each of the `languages` most frequent labels; all rarer labels share one more dictionary and sample. Every text is
+then judged, whole, with as many chains as are found.
+
+Where bytes are lost (U+FFFD next to a letter or to another of its kind, C1 controls), a chain of its own stands for what
+was there: the passage is compressed with each of the usual letters, or each reading of the control, in the place. If
+that is shorter, the text is affected; it is restored only as far as other chains go, for the letter itself is a guess.
 """
 
 from __future__ import annotations
@@ -23,19 +27,26 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The single-byte encodings that texts are read in by mistake, and the multi-byte ones.
 SINGLE = ["latin-1", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp437", "cp850", "mac-roman"]
-MULTI = ["gb18030", "cp950", "cp932", "cp949"]
+MULTI = ["gb18030", "cp950", "cp932", "cp949", "euc-jp"]
+# Encodings of further languages, which texts are written in but not read in by mistake.
+WRITTEN = ["cp1253", "cp1254", "cp1255", "cp1256", "cp1257", "cp1258", "iso8859-5", "iso8859-7", "iso8859-9", "cp852", "cp855", "koi8-u", "mac-cyrillic"]
 LEVEL = 6
 DICT_BYTES = 96 << 10
+TRAIN_BYTES = 32 << 20  # of passages that one dictionary is trained on, chosen by their hashes
+PASSAGE = 1000  # characters of a passage of the sample; longer ones are cut into several
+LETTERS = 32  # that may stand for a lost one
+ESCAPE = 4  # bytes that a control or lost character costs besides its own: clean text holds none
 SEGMENT = re.compile(r"[^\n.!?。！？]*(?:[.!?。！？]+|\n|$)\s*")
 LOST = re.compile("[^\\W\\d_]�|�[^\\W\\d_]|��|[^\\x00-\\x7f\\s]�|�[^\\x00-\\x7f\\s]")
 CONTROL = re.compile("[\x80-\x84\x86-\x9f]")  # no text means these; what shows them was decoded wrongly
 CJK = re.compile("[\u2e80-\u9fff\uac00-\ud7ff\uf900-\ufaff]")
-CJK_RUN = re.compile("[\u2e80-\u9fff\uac00-\ud7ff\uf900-\ufaff]{3,}")
+CJK_IN_WORD = re.compile("(?<=[A-Za-zÀ-ӿ])[\u2e80-\u9fff\uac00-\ud7ff\uf900-\ufaff]{1,2}|[\u2e80-\u9fff\uac00-\ud7ff\uf900-\ufaff]{1,2}(?=[A-Za-zÀ-ӿ])")
 
 
 @lru_cache(maxsize=None)
@@ -86,7 +97,7 @@ def _table(wrong: str, right: str) -> dict[int, str]:
 
 def _through_bytes(text: str, wrong: str, right: str) -> str | None:
     try:
-        raw = bytes(ord(c) if ord(c) < 256 and wrong in SINGLE else 0 for c in "") or text.encode(wrong, "strict")
+        raw = text.encode(wrong, "strict")
     except UnicodeEncodeError:
         return None
     out = raw.decode(right, "replace")
@@ -99,7 +110,7 @@ def apply(chain: tuple[str, str], text: str) -> str:
     if right == "utf-8" and wrong in SINGLE:
         pattern, restore = _utf8(wrong)
         return pattern.sub(restore, text)
-    if wrong in SINGLE and right in SINGLE:
+    if wrong in SINGLE and right not in MULTI:
         return text.translate(_table(wrong, right))
     # multi-byte: sentence by sentence, for an encoding that can't hold one sentence may hold the others
     if wrong in SINGLE:
@@ -115,8 +126,8 @@ def apply(chain: tuple[str, str], text: str) -> str:
 
 
 UTF8_CHAINS = [(w, "utf-8") for w in SINGLE]
-TABLE_CHAINS = [(w, r) for w in SINGLE for r in SINGLE if w != r]
-BYTE_CHAINS = [(w, "utf-8") for w in MULTI] + [(w, r) for w in ("latin-1", "cp1252", "cp1251", "koi8-r", "mac-roman") for r in ("gb18030", "cp950")] + [("gb18030", r) for r in ("cp1251", "koi8-r", "cp1252")]
+TABLE_CHAINS = [(w, r) for w in SINGLE for r in SINGLE + WRITTEN if w != r]
+BYTE_CHAINS = [(w, "utf-8") for w in MULTI] + [(w, r) for w in ("latin-1", "cp1252", "cp1251", "koi8-r", "mac-roman") for r in MULTI] + [("gb18030", r) for r in ("cp1251", "koi8-r", "cp1252")]
 
 
 def implausible(f: str) -> bool:
@@ -181,12 +192,22 @@ def looks_encoded(text: str) -> bool:
     return bool(_pairs(tuple(LATIN)).search(text)) and any(apply((w, "utf-8"), text) != text for w in LATIN)
 
 
+def passages(text: str, most: int | None = None) -> list[str]:
+    """Sentences or lines of at most PASSAGE characters, in order; if there are more than `most`, those of the least hashes."""
+    cut = [s[k : k + PASSAGE] for s in SEGMENT.findall(text) for k in range(0, len(s), PASSAGE)]
+    if most is None or len(cut) <= most:
+        return cut
+    order = sorted(range(len(cut)), key=lambda k: xxhash.xxh3_64_intdigest(cut[k].encode("utf-8", "surrogatepass")))
+    return [cut[k] for k in sorted(order[:most])]
+
+
 class Model:
     """What is usual: character pairs and a compression dictionary for each language."""
 
     def __init__(self, usual: frozenset[str], dictionaries: dict[str, bytes]):
         self.usual, self.dictionaries, self._ready = usual, dictionaries, None
         self._helped: dict[str, np.ndarray] = {}
+        self._letters: list[str] | None = None
         self._plain: set[tuple[str, str]] = set()  # neighbours known to be usual; emptied when it grows too large
 
     def __getstate__(self):
@@ -207,6 +228,13 @@ class Model:
                 self._plain.add(pair)
         return out
 
+    def letters(self) -> list[str]:
+        """Letters beyond ASCII by how many usual pairs they stand in."""
+        if self._letters is None:
+            n = Counter(c for f in self.usual for c in f if c >= "\x80" and c.isalpha())
+            self._letters = [c for c, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
+        return self._letters
+
     def helped(self, f: str) -> np.ndarray:
         """For each of TABLE_CHAINS, whether it turns an odd pair into a usual one."""
         if f not in self._helped:
@@ -227,11 +255,12 @@ class Model:
                 d.precompute_compress(level=LEVEL)
                 self._ready.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
         raw = text.encode("utf-16-le", "surrogatepass")  # two bytes for most characters: no script is shorter than others
-        return min(len(z.compress(raw)) for z in self._ready) if self._ready else len(raw)
+        least = min(len(z.compress(raw)) for z in self._ready) if self._ready else len(raw)
+        return least + ESCAPE * (len(CONTROL.findall(text)) + text.count("\ufffd"))
 
     @classmethod
-    def fit(cls, labelled: list[tuple[str, str]], share: float = 0.006, least: int = 3) -> Model:
-        """From (language, text). A pair is usual if it stands in the given share of a language's texts.
+    def fit(cls, labelled: list[tuple[str, str | list[str]]], share: float = 0.006, least: int = 3) -> Model:
+        """From (language, text or passages of it). A pair is usual if it stands in the given share of a language's texts.
 
         The sample holds garbled passages too. A passage is left out if some chain turns its pairs into much more
         frequent ones, or if it looks encoded.
@@ -240,7 +269,7 @@ class Model:
 
         by: dict[str, list[list[str]]] = {}
         for lang, text in labelled:
-            by.setdefault(lang, []).append([s for s in SEGMENT.findall(text) if s])
+            by.setdefault(lang, []).append(text if isinstance(text, list) else passages(text))
         rate: dict[str, float] = {}
         for texts in by.values():
             df = Counter(f for segments in texts for f in set().union(*(features(s) for s in segments if not s.isascii())))
@@ -272,7 +301,9 @@ class Model:
             kept = [[s for s in segments if clean(s)] for segments in texts]
             df = Counter(f for segments in kept for f in set().union(*(features(s) for s in segments if not s.isascii())))
             usual |= {f for f, n in df.items() if n >= max(least, share * len(texts)) and not implausible(f)}
-            parts = [s.encode("utf-16-le", "surrogatepass") for segments in kept for s in segments if len(s) > 8][:60_000]
+            parts = [s.encode("utf-16-le", "surrogatepass") for segments in kept for s in segments if len(s) > 8]
+            most = TRAIN_BYTES / max(1, sum(map(len, parts))) * 2**32
+            parts = [x for x in parts if xxhash.xxh3_64_intdigest(x) >> 32 < most]
             if len(parts) >= 50:
                 try:
                     dictionaries[lang] = zstandard.train_dictionary(DICT_BYTES, parts, k=200, d=8).as_bytes()
@@ -305,17 +336,36 @@ def _candidates(model: Model, s: str, odd: set[str]) -> Iterator[tuple[tuple[tup
         if chain[0] not in from_codec if chain[0] in SINGLE else not foreign:
             continue
         t = apply(chain, s)
-        if chain[1] in MULTI and 2 * len("".join(CJK_RUN.findall(t))) < len(CJK.findall(t)):
+        if chain[1] in MULTI and 2 * len("".join(CJK_IN_WORD.findall(t))) > len(CJK.findall(t)):
             continue  # lone ideographs inside words of another script
         if t != s and t.count("\ufffd") <= s.count("\ufffd") + len(t) // 25 and len(model.odd(t)) <= most:
             yield (chain,), t
 
 
-def judge(model: Model, text: str, chain_cost: int = 3, rounds: int = 4) -> tuple[str, list[str], bool]:
-    """(restored text, chains undone, whether bytes are lost)."""
-    lost = bool(CONTROL.search(text)) or "\ufffd" in text and bool(LOST.search(text))
+def bytes_lost(model: Model, text: str) -> bool:
+    """Whether a passage with signs of lost bytes is described shorter with some letter in their place."""
+    if "\ufffd" not in text and not CONTROL.search(text):
+        return False
+    for s in SEGMENT.findall(text):
+        lost, control = "\ufffd" in s and LOST.search(s), CONTROL.search(s)
+        if not (lost or control):
+            continue
+        now = model.size(s)
+        if control and any(model.size(t) < now for w in SINGLE + WRITTEN if (t := CONTROL.sub(lambda m: decoded(w)[ord(m.group())], s)) != s):
+            return True
+        if lost and any(model.size(re.sub("\ufffd+", c, s)) < now for c in model.letters()):
+            return True
+        if lost and any(model.size(apply(chain, s)) < now for chain in UTF8_CHAINS + BYTE_CHAINS):
+            return True  # bytes were lost on the way of another chain
+    return False
+
+
+def judge(model: Model, text: str, chain_cost: int = 3) -> tuple[str, list[str], bool]:
+    """(restored text, chains undone, whether bytes are lost). Chains are undone until none gains any more."""
+    lost = bytes_lost(model, text)
     done: list[str] = []
-    for _ in range(rounds):
+    seen = {xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass"))}
+    while True:
         if text.isascii() or not model.odd(text):
             break
         segments = SEGMENT.findall(text)
@@ -332,32 +382,52 @@ def judge(model: Model, text: str, chain_cost: int = 3, rounds: int = 4) -> tupl
                 best, most = chains, gain
         if best is None:
             break
-        done += [">".join(c) for c in best]
         for k, t in found[best].items():
             segments[k] = t
-        text = "".join(segments)
+        after = "".join(segments)
+        if (h := xxhash.xxh3_128_intdigest(after.encode("utf-8", "surrogatepass"))) in seen:
+            break  # chains that undo each other
+        seen.add(h)
+        done += [">".join(c) for c in best]
+        text = after
     return text, done, lost
 
 
-def fit_model(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 500) -> Model:
-    """Model from about per_language texts of each language label (the label's first two letters, in lower case)."""
-    lang = F.substring(F.lower(F.trim(F.col(lang_col))), 1, 2)
-    rows = df.select(F.xxhash64(id_col).alias("h"), lang.alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and lang <> 'un'")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(40).collect()}
-    share = F.lit(0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1_000_000, int(1_000_000 * per_language / n)))).otherwise(share)
-    sample = rows.where(F.pmod("h", F.lit(1_000_000)) < share).select("lang", "text")
-    return Model.fit([(r.lang, r.text) for r in sample.toLocalIterator()])
-
+def fit_model(df: DataFrame, text_col: str, lang_col: str, per_language: int = 1500, per_text: int = 400, languages: int = 200) -> Model:
+    """Model from the texts of each language label (the label's first two letters, in lower case).
 
-def restored_texts(df: DataFrame, id_col: str, text_col: str, lang_col: str, *, per_language: int = 500, chain_cost: int = 3) -> DataFrame:
+    For each of the `languages` most frequent labels about per_language distinct texts are drawn by their hashes, and of
+    each at most per_text passages; all other labels are drawn from together, as one. Copies of a text count once.
+    """
+    lang = F.substring(F.lower(F.trim(F.col(lang_col))), 1, 2)
+    rows = df.select(F.xxhash64(text_col).alias("h"), lang.alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and lang <> 'un'")
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    frequent = {r.lang: r.n for r in sizes.orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    if not frequent:
+        return Model.fit([])
+    rare = sizes.where(~F.col("lang").isin(*frequent)).agg(F.sum("n").alias("n")).first().n
+    share = lambda n: min(1_000_000, int(1_000_000 * per_language / max(1, n)))
+    known = F.create_map(*(F.lit(x) for k, n in frequent.items() for x in (k, share(n))))
+    rows = rows.withColumn("share", F.coalesce(known[F.col("lang")], F.lit(share(rare or 0))))
+    rows = rows.withColumn("lang", F.when(F.col("lang").isin(*frequent), F.col("lang")).otherwise(""))
+    sample = rows.where(F.pmod("h", F.lit(1_000_000)) < F.col("share")).dropDuplicates(["lang", "h"]).select("lang", "text")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"lang": b["lang"], "passages": [passages(t, per_text) for t in b["text"]]})
+
+    return Model.fit([(r.lang, r.passages) for r in sample.mapInPandas(cut, "lang string, passages array<string>").toLocalIterator()])
+
+
+def restored_texts(df: DataFrame, id_col: str, text_col: str, lang_col: str, *, per_language: int = 1500, per_text: int = 400, languages: int = 200, chain_cost: int = 3) -> DataFrame:
     """(id, text, chains, lost): the affected rows, their restored text, the chains undone and whether bytes are lost.
 
+    per_language, per_text and languages bound the sample that the model is fitted on (see fit_model), nothing else.
+
     Null, empty and ASCII texts are never affected. Ids keep their type and may be null; repeated rows give repeated
     rows; other columns are ignored; an empty table gives an empty result. Texts of any length are taken whole.
     """
-    model = df.sparkSession.sparkContext.broadcast(fit_model(df, id_col, text_col, lang_col, per_language))
+    model = df.sparkSession.sparkContext.broadcast(fit_model(df, text_col, lang_col, per_language, per_text, languages))
     kind = df.select(id_col).dtypes[0][1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
