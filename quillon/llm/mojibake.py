@@ -95,6 +95,12 @@ def _table(wrong: str, right: str) -> dict[int, str]:
     return {ord(a[k]): b[k] for k in range(255, 127, -1) if a[k] != b[k]}
 
 
+@lru_cache(maxsize=None)
+def _back(codec: str) -> dict[str, int]:
+    """Each character -> the byte that shows it."""
+    return {c: b for b, c in enumerate(decoded(codec))}
+
+
 def _through_bytes(text: str, wrong: str, right: str) -> str | None:
     try:
         raw = text.encode(wrong, "strict")
@@ -114,13 +120,12 @@ def apply(chain: tuple[str, str], text: str) -> str:
         return text.translate(_table(wrong, right))
     # multi-byte: sentence by sentence, for an encoding that can't hold one sentence may hold the others
     if wrong in SINGLE:
-        back = {c: b for b, c in enumerate(decoded(wrong))}
-        out = []
+        back, out = _back(wrong), []
         for s in SEGMENT.findall(text):
-            if s.isascii() or any(c not in back for c in s):
+            try:
+                out.append(s if s.isascii() else bytes([back[c] for c in s]).decode(right, "replace"))
+            except KeyError:
                 out.append(s)
-            else:
-                out.append(bytes(back[c] for c in s).decode(right, "replace"))
         return "".join(out)
     return "".join(s if s.isascii() else _through_bytes(s, wrong, right) or s for s in SEGMENT.findall(text))
 
@@ -144,6 +149,7 @@ def implausible(f: str) -> bool:
     return (a.isalpha() and signs[1]) or (b.isalpha() and signs[0] and a not in "√°£€¥§©™®№¿¡")
 
 
+@lru_cache(maxsize=200_000)
 def _of_pair(a: str, b: str) -> tuple[str, ...]:
     if a < "\x80" and b < "\x80":
         return ()
@@ -240,8 +246,9 @@ class Model:
         if f not in self._helped:
             if len(self._helped) > 20_000:
                 self._helped.clear()
-            to = [f.translate(_table(*chain)) for chain in TABLE_CHAINS]
-            self._helped[f] = np.array([t in self.usual or t.isascii() for t in to], np.int32)
+            there = {w for w in SINGLE if not _upper(w).isdisjoint(f)}
+            to = [f.translate(_table(*chain)) if chain[0] in there else "" for chain in TABLE_CHAINS]
+            self._helped[f] = np.array([t in self.usual or t != "" and t.isascii() for t in to], np.int32)
         return self._helped[f]
 
     def size(self, text: str) -> int:
@@ -271,8 +278,9 @@ class Model:
         for lang, text in labelled:
             by.setdefault(lang, []).append(text if isinstance(text, list) else passages(text))
         rate: dict[str, float] = {}
+        of = lru_cache(maxsize=None)(features)  # of the passages of the sample
         for texts in by.values():
-            df = Counter(f for segments in texts for f in set().union(*(features(s) for s in segments if not s.isascii())))
+            df = Counter(f for segments in texts for f in set().union(*(of(s) for s in segments if not s.isascii())))
             for f, n in df.items():
                 rate[f] = max(rate.get(f, 0.0), n / len(texts))
         score = {f: math.log(r) for f, r in rate.items()}
@@ -283,15 +291,17 @@ class Model:
         def clean(s: str) -> bool:
             if s.isascii():
                 return True
-            fs = list(features(s))
+            fs = list(of(s))
             now = mean(fs)
             if looks_encoded(s) or any("\x80" <= c <= "\x9f" or c == "\ufffd" for c in s):
                 return False
             if now > -1.5 or len(fs) < 6:  # too few pairs to tell; so few of them don't become usual either
                 return True
             joined = "\n".join(fs)
+            signs = {c for c in joined if c >= "\x80"}
+            wrong = {w for w in SINGLE if 2 * len(signs & _upper(w)) >= len(signs)}
             for chain in TABLE_CHAINS:
-                if (t := joined.translate(_table(*chain))) != joined and mean(t.split("\n")) > now + 1.5:
+                if chain[0] in wrong and (t := joined.translate(_table(*chain))) != joined and mean(t.split("\n")) > now + 1.5:
                     return False
             return all((t := apply(chain, s)) == s or mean(features(t)) <= now + 1.5 for chain in UTF8_CHAINS)
 
@@ -299,7 +309,7 @@ class Model:
         dictionaries = {}
         for lang, texts in by.items():
             kept = [[s for s in segments if clean(s)] for segments in texts]
-            df = Counter(f for segments in kept for f in set().union(*(features(s) for s in segments if not s.isascii())))
+            df = Counter(f for segments in kept for f in set().union(*(of(s) for s in segments if not s.isascii())))
             usual |= {f for f, n in df.items() if n >= max(least, share * len(texts)) and not implausible(f)}
             parts = [s.encode("utf-16-le", "surrogatepass") for segments in kept for s in segments if len(s) > 8]
             most = TRAIN_BYTES / max(1, sum(map(len, parts))) * 2**32
