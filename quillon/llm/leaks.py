@@ -4,8 +4,9 @@ Every run of `passage` consecutive words of an item is one passage, and every ru
 window. Both get a 64-bit SimHash of their words, weighted by their counts. The fingerprints are cut into radius + 1
 blocks: two fingerprints within the radius agree in at least one block, so looking up each block in its table fetches
 every passage within the radius of a window. Fetched passages are verified by the complete distance, then by the exact
-weighted similarity of the words (sum of least counts over sum of greatest counts), and at a required similarity of 1
-also by the order of the words.
+similarity of the window's and the passage's shingles, weighted by their counts (sum of least counts over sum of greatest
+counts). At a required similarity of 1 the words are then compared one by one, since different orders of repeated words
+may have the same shingles.
 
 Documents are only scanned and never shuffled; what is shuffled are the pairs found. The items are the stated query set:
 they are taken in blocks of a bounded number of passages, and each block is held against all documents.
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.words import WORD, Hashes, hashed, mix
+from quillon.llm.words import WORD, Hashes, hashed, mix, shingles
 from quillon.plans.staging import stage
 
 # Characters that a reader doesn't see (soft hyphen, joiners, zero-width and bidirectional marks,
@@ -110,16 +111,29 @@ class _Index:
         return np.concatenate(at), np.concatenate(to)
 
 
-def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Sum of least counts over sum of greatest counts of the values of a and b."""
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    both = np.intersect1d(x, y, return_indices=True)
-    least = np.minimum(n[both[1]], m[both[2]]).sum()
-    return least / (len(a) + len(b) - least)
+def _numbered(x: np.ndarray) -> np.ndarray:
+    """For each value of each row, how many equal values stand before it in the row."""
+    k = x.shape[1]
+    return ((x[:, :, None] == x[:, None, :]) & np.tri(k, k, -1, bool)).sum(axis=2)
 
 
-def _search(index, passage: int, similarity: float):
+def weighted_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row: the sum of least counts over the sum of greatest counts of the row's values in a and in b."""
+    if not len(a):
+        return np.empty(0)
+    n, m = _numbered(a), _numbered(b)
+    both = ((a[:, :, None] == b[:, None, :]) & (n[:, :, None] == m[:, None, :])).any(axis=2).sum(axis=1)
+    return both / (a.shape[1] + b.shape[1] - both)
+
+
+def _shingled(words: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of the shingles of each row of words."""
+    n = words.shape[1] - width + 1
+    flat = shingles(words.ravel(), width)
+    return np.lib.stride_tricks.sliding_window_view(flat, n)[:: words.shape[1]] if len(flat) else np.empty((0, n), np.uint64)
+
+
+def _search(index, passage: int, similarity: float, shingle: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, ix = Hashes(), index.value
         for batch in batches:
@@ -138,12 +152,11 @@ def _search(index, passage: int, similarity: float):
             of = np.searchsorted(start, w, "right") - 1
             inside = w + passage <= (start + length)[of]  # a window lies in one document
             w, p, of = w[inside], p[inside], of[inside]
-            mine = h[w[:, None] + np.arange(passage)]
-            theirs = ix.words[p]
-            if similarity >= 1:
-                good = (mine == theirs).all(axis=1)
-            else:
-                good = np.array([weighted_similarity(a, b) >= similarity for a, b in zip(mine, theirs)], bool)
+            good = np.zeros(len(w), bool)
+            for k in range(0, len(w), CHUNK):
+                mine, theirs = h[w[k : k + CHUNK, None] + np.arange(passage)], ix.words[p[k : k + CHUNK]]
+                near = weighted_similarity(_shingled(mine, shingle), _shingled(theirs, shingle)) >= similarity - 1e-12
+                good[k : k + CHUNK] = near & (mine == theirs).all(axis=1) if similarity >= 1 else near
             hit = pd.DataFrame({"doc": np.array(docs)[of[good]], "item": ix.item[p[good]], "word": w[good] - start[of[good]]}).drop_duplicates()
             yield hit.groupby(["doc", "item"], as_index=False).agg(n_passages=("word", "size"), first_word=("word", "min"), last_word=("word", "max"))
 
@@ -151,13 +164,13 @@ def _search(index, passage: int, similarity: float):
 
 
 def leaked_passages(
-    docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_col: str, item_text_col: str, *, passage: int = 12, radius: int = 2, similarity: float = 1.0, block: int = 400_000
+    docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_col: str, item_text_col: str, *, passage: int = 12, radius: int = 2, similarity: float = 1.0, shingle: int = 5, block: int = 400_000
 ) -> DataFrame:
     """(doc, item, n_passages, first_word, last_word): documents that contain passages of items.
 
     With similarity 1, n_passages counts the places at which passage consecutive words of the item stand in the document
     as consecutive words (see as_read); first_word and last_word are the first and last of these places. With less,
-    windows within radius whose weighted similarity reaches it count too. Ids must be integers; rows with a null id or
+    windows within radius count too whose shingles (runs of `shingle` words, at most passage) reach that weighted similarity. Ids must be integers; rows with a null id or
     text, and items or documents of fewer than passage words, can't match. Repeated rows give one row. Other columns are
     ignored; empty tables give an empty result. block is the number of passages held in memory at once; more are taken
     in several passes over the documents.
@@ -173,7 +186,7 @@ def leaked_passages(
     for k in range(blocks if n else 0):
         # at most about `block` rows of the query set, whatever the size of the corpus
         index = spark.sparkContext.broadcast(_Index(passages.where(share == k).toPandas(), passage, radius))
-        found = found.union(texts.mapInPandas(_search(index, passage, similarity), found.schema))
+        found = found.union(texts.mapInPandas(_search(index, passage, similarity, min(shingle, passage)), found.schema))
     return found.groupBy("doc", "item").agg(
         F.sum("n_passages").alias("n_passages"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word")
     )

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -54,7 +55,9 @@ def test_near_passages(spark):
     a, b = " ".join(W[:12]), " ".join([W[1], W[0], *W[2:12]])
     df = lambda t: spark.createDataFrame([(1, t)], "id long, text string")
     assert leaked_passages(df(b), "id", "text", df(a), "id", "text").count() == 0
-    assert leaked_passages(df(b), "id", "text", df(a), "id", "text", similarity=0.8).count() == 1
+    assert leaked_passages(df(b), "id", "text", df(a), "id", "text", similarity=0.8).count() == 0  # 6 of 10 shingles
+    assert leaked_passages(df(b), "id", "text", df(a), "id", "text", similarity=0.6).count() == 1
+    assert leaked_passages(df(b), "id", "text", df(a), "id", "text", similarity=0.8, shingle=1).count() == 1
 
 
 def test_simhash_is_that_of_each_window():
@@ -62,4 +65,23 @@ def test_simhash_is_that_of_each_window():
     whole = simhashes(h, 12)
     assert len(whole) == 89 and all(simhashes(h[k : k + 12], 12)[0] == whole[k] for k in range(89))
     assert len(simhashes(h[:5], 12)) == 0
-    assert weighted_similarity(h[:3], h[:3]) == 1 and weighted_similarity(np.array([1, 1, 2]), np.array([1, 2, 2])) == 0.5
+    one = lambda *x: np.array([x])
+    assert weighted_similarity(h[None, :3], h[None, :3]) == [1.0] and weighted_similarity(one(1, 1, 2), one(1, 2, 2)) == [0.5]
+    assert weighted_similarity(np.empty((0, 3)), np.empty((0, 3))).shape == (0,)
+
+
+def test_weighted_similarity_against_counts():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 5, (200, 8)), rng.integers(0, 5, (200, 8))
+    for x, y, got in zip(a, b, weighted_similarity(a, b)):
+        c, d = Counter(x.tolist()), Counter(y.tolist())
+        assert got == (c & d).total() / (c | d).total()
+
+
+def test_same_shingles_in_another_order(spark):
+    """Words that repeat, so that two orders have the same runs: only the exact passage counts."""
+    a, b = "x a x b x a x b x a x b", "x b x a x b x a x b x a"
+    df = lambda t: spark.createDataFrame([(1, t)], "id long, text string")
+    for width in (1, 2):
+        assert leaked_passages(df(b), "id", "text", df(a), "id", "text", shingle=width).count() == 0
+    assert leaked_passages(df(f"{a} x"), "id", "text", df(a), "id", "text").count() == 1
