@@ -27,6 +27,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how the public byte-level vocabularies cut a text before pairs are merged.
 CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BROADCAST_ROWS = 1_000_000  # of 44 bytes
+RANKS = 1 << 20  # of one length in one block of the join that takes the place of a larger broadcast
 
 
 @lru_cache(maxsize=2)
@@ -92,32 +93,33 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> tuple[list[
 
 
 def pack(
-    df: DataFrame, id_col: str, text_col: str, containers: DataFrame, name_col: str, capacity_col: str, *, tokenizer: str = TOKENIZER
+    df: DataFrame, id_col: str, text_col: str, containers: DataFrame, name_col: str, capacity_col: str, *, tokenizer: str = TOKENIZER, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """(container, id, piece, n_pieces, n_tokens, sequence, start): where each text goes in each container's sequences.
 
     A text of more tokens than the capacity is split into pieces of exactly the capacity and one last piece; no other
     text is split. Every row of df is a text of its own, also if it is repeated or its id is null; null and blank texts
     are left out. Containers without a positive capacity are ignored, as are other columns; empty tables give an empty
-    result. Ids keep their type.
+    result. Ids keep their type. Placings are broadcast up to broadcast_rows, and joined beyond.
     """
     spark = df.sparkSession
-    sizes = stage(token_counts(df, id_col, text_col, tokenizer), "sizes")
+    # numbered once and for all, so that ranks don't depend on ids, which may be null or repeated
+    sizes = stage(token_counts(df, id_col, text_col, tokenizer).withColumn("row", F.monotonically_increasing_id()), "sizes")
     kept = containers.select(F.col(name_col).alias("container"), F.col(capacity_col).cast("long").alias("capacity")).distinct()
     kept = [r for r in kept.collect() if r.container is not None and (r.capacity or 0) > 0]
     bins = F.array(*(F.struct(F.lit(r.container).alias("container"), F.lit(r.capacity).cast("long").alias("capacity")) for r in kept))
     shape = f"container string, id {sizes.dtypes[0][1]}, piece long, n_pieces long, n_tokens long, sequence long, start long"
     if not kept:
         return spark.createDataFrame([], shape)
-    whole = sizes.select("id", "n_tokens", F.explode(bins).alias("bin")).select("id", "n_tokens", "bin.*")
+    whole = sizes.select("id", "row", "n_tokens", F.explode(bins).alias("bin")).select("id", "row", "n_tokens", "bin.*")
     whole = whole.withColumn("n_pieces", F.expr("(n_tokens + capacity - 1) div capacity"))
-    items = whole.select("container", "capacity", "id", "n_pieces", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("n_pieces").cast("int") - 1)).alias("piece"))
+    items = whole.select("container", "capacity", "id", "row", "n_pieces", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("n_pieces").cast("int") - 1)).alias("piece"))
     items = items.select(
-        "container", "id", F.col("piece").cast("long").alias("piece"), "n_pieces", F.least("capacity", F.col("n_tokens") - F.col("piece") * F.col("capacity")).alias("length")
+        "container", "id", "row", F.col("piece").cast("long").alias("piece"), "n_pieces", F.least("capacity", F.col("n_tokens") - F.col("piece") * F.col("capacity")).alias("length")
     )
     # ranks inside shares of a length, so that no length goes to one task however many texts have it
     shares = max(8, -(-sizes.count() // 200_000))
-    items = items.withColumn("share", F.pmod(F.xxhash64("id", "piece"), F.lit(shares)))
+    items = items.withColumn("share", F.pmod(F.xxhash64("row", "piece"), F.lit(shares)))
     counts = stage(items.groupBy("container", "length", "share").agg(F.count("*").alias("n")), "length-counts")
     histogram: dict[str, dict[int, int]] = {r.container: {} for r in kept}
     for r in counts.groupBy("container", "length").agg(F.sum("n").alias("n")).collect():  # bounded by the capacities
@@ -125,13 +127,14 @@ def pack(
     rows = [(r.container, *x) for r in kept for x in shortest_pack_first(histogram[r.container], r.capacity)[0]]
     before = W.Window.partitionBy("container", "length").orderBy("share").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = counts.select("container", "length", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = W.Window.partitionBy("container", "length", "share").orderBy("id", "piece")
+    inside = W.Window.partitionBy("container", "length", "share").orderBy("row", "piece")
     ranked = items.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["container", "length", "share"])
     ranked = ranked.select("container", "id", "piece", "n_pieces", "length", (F.col("rank") + F.col("before")).alias("rank"))
     table = pd.DataFrame(rows, columns=["container", "length", "low", "high", "first", "start"])
-    if len(table) > BROADCAST_ROWS:
-        t = spark.createDataFrame(table)
-        joined = ranked.join(t, ["container", "length"]).where("rank >= low and rank < high")
+    if len(table) > broadcast_rows:
+        block = lambda c: F.floor(F.col(c) / RANKS).cast("long")
+        t = spark.createDataFrame(table).withColumn("block", F.explode(F.sequence(block("low"), F.floor((F.col("high") - 1) / RANKS).cast("long"))))
+        joined = ranked.withColumn("block", block("rank")).join(t, ["container", "length", "block"]).where("rank >= low and rank < high")
         return joined.select("container", "id", "piece", "n_pieces", F.col("length").alias("n_tokens"), (F.col("first") + F.col("rank") - F.col("low")).alias("sequence"), "start")
     sent = spark.sparkContext.broadcast({c: g.sort_values(["length", "low"]).drop(columns="container") for c, g in table.groupby("container")})
 

@@ -52,7 +52,19 @@ def test_pack(spark):
         assert {r.n_pieces for r in mine if r.id != 302} <= {1, 2} and sum(r.id == 302 for r in mine) == -(-len(count("long " * 500)) // capacity)
         assert len(by) <= 1.1 * total / capacity + 1
     assert {r.container for r in rows} == {"s", "m"}
+    everywhere = ["container", "id", "piece", "n_pieces", "n_tokens", "sequence", "start"]
+    joined = pack(df, "id", "text", bins, "container", "capacity", broadcast_rows=0).select(*everywhere).collect()
+    assert Counter(map(tuple, joined)) == Counter(tuple(r[c] for c in everywhere) for r in rows)
     room = {r.container: r for r in packed_room(pack(df, "id", "text", bins, "container", "capacity"), bins, "container", "capacity").collect()}
     assert room["s"].unused == room["s"].n_sequences * 32 - room["s"].n_tokens
     assert pack(df.limit(0), "id", "text", bins, "container", "capacity").count() == 0
     assert pack(df, "id", "text", bins.limit(0), "container", "capacity").count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer")
+def test_null_and_repeated_ids(spark):
+    """Each row is a text of its own, with a place of its own."""
+    df = spark.createDataFrame([(None, "a b c")] * 40 + [(5, "d e f")] * 40, "id long, text string")
+    bins = spark.createDataFrame([("s", 16)], "container string, capacity int")
+    rows = pack(df, "id", "text", bins, "container", "capacity").collect()
+    assert len(rows) == 80 == len({(r.sequence, r.start) for r in rows}) and sum(r.id is None for r in rows) == 40
