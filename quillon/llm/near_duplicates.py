@@ -13,7 +13,9 @@ distance. Fetched pairs are verified by the complete distance and then exactly,
 
 No bucket is expanded into all its pairs. Texts with equal sets of shingles are first merged into one node. Then each
 member of a bucket is verified against the bucket's least node only; the links found merge nodes into components; and
-what is left to verify are the pairs of a bucket's members that lie in different components.
+what is left to verify are the pairs of a bucket's members that lie in different components. A bucket's largest component
+is held against the others, never against itself. Buckets of more than CROWDED nodes are split by further symbols, rare
+ones: a node's first shingles in a global order with the rare ones first (see prefix), of which two similar texts share one.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.prefix import first_members, member_counts
 from quillon.llm.words import Hashes, hashed, jaccard, mix, shingles, words
 from quillon.operators.components import connected_components
 from quillon.plans.staging import stage
 
 SYMBOLS = 5  # of a segment
 KEPT = SYMBOLS - 1  # of them in each word of its ball
+CROWDED = 256  # nodes of a bucket that is split further
 
 
 def segments_for(threshold: float, miss: float) -> int:
@@ -117,8 +121,39 @@ def _verified(width: int, threshold: float, limit: int):
     return run
 
 
+def _apart(placed: DataFrame) -> DataFrame:
+    """(a, b), the smaller first: pairs of ids of one key (key, id, part) that lie in different parts. A key's most
+    frequent part is only held against the others, so that a hot part isn't paired with itself."""
+    n = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
+    top = n.groupBy("key").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.part").alias("top"))
+    rows = placed.join(top, "key")
+    minor = rows.where("part <> top").select("key", F.col("id").alias("x"), F.col("part").alias("px"))
+    pairs = minor.join(rows.select("key", F.col("id").alias("y"), F.col("part").alias("py")), "key").where("px <> py")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _split(rows: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(key, id, part) of rows (id, part, text): the first shingles of each text, rare ones first."""
+    spark = rows.sparkSession
+
+    def sets(batch: pd.DataFrame) -> Iterator[np.ndarray]:
+        cache = Hashes()
+        return (np.unique(shingles(hashed(words(t), cache), width)) for t in batch["text"])
+
+    counts = spark.sparkContext.broadcast(member_counts(rows.select("text"), sets))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            firsts = [s[first_members(s, counts.value, threshold)] for s in sets(batch)]
+            n = [len(f) for f in firsts]
+            if n:
+                yield pd.DataFrame({"key": np.concatenate(firsts).view(np.int64), "id": np.repeat(batch["id"].to_numpy(), n), "part": np.repeat(batch["part"].to_numpy(), n)})
+
+    return rows.mapInPandas(run, "key long, id long, part long")
+
+
 def near_duplicate_groups(
-    df: DataFrame, id_col: str, text_col: str, *, width: int = 5, threshold: float = 0.8, least_words: int = 1, miss: float = 1e-3
+    df: DataFrame, id_col: str, text_col: str, *, width: int = 5, threshold: float = 0.8, least_words: int = 1, miss: float = 1e-3, crowd: int = CROWDED
 ) -> DataFrame:
     """(id, class_id, group_id, n_links): one row for each text of at least least_words (and width) words.
 
@@ -139,29 +174,24 @@ def near_duplicate_groups(
     buckets = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
     shared = stage(keys.join(buckets, "key"), "buckets")
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
+    def verify(pairs: DataFrame, name: str, within: int = limit) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "sig"), "id")
         rows = stage(ends.join(texts, "id").dropDuplicates(["id"]), f"{name}-texts")
         both = pairs.join(rows.toDF("a", "sig_a", "text_a"), "a").join(rows.toDF("b", "sig_b", "text_b"), "b")
-        return stage(both.mapInPandas(_verified(width, threshold, limit), "a long, b long"), name)
+        return stage(both.mapInPandas(_verified(width, threshold, within), "a long, b long"), name)
 
     tried = stage(shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
     stars = verify(tried, "stars")
     parts = connected_components(stars)
     placed = shared.select("key", "id").join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
     placed = stage(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    rest = placed.join(mixed, "key", "left_semi")
-    apart = (
-        rest.toDF("key", "x", "px")
-        .join(rest.toDF("key", "y", "py"), "key")
-        .where("px < py")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    across = verify(stage(apart, "rest-pairs"), "across")
-    links = stage(stars.union(across), "links")
+    crowded = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("n") > crowd)
+    loose = placed.join(crowded, "key", "left_anti")
+    apart = _apart(loose).join(tried, ["a", "b"], "left_anti")
+    dense = placed.join(crowded.where("p < q"), "key", "left_semi").select("id", "part").distinct().join(texts.dropDuplicates(["id"]), "id")
+    split = _apart(stage(_split(stage(dense, "crowded"), width, threshold), "split-buckets")).join(tried, ["a", "b"], "left_anti")
+    across = verify(stage(apart, "rest-pairs"), "across").union(verify(stage(split, "split-pairs"), "split", n))
+    links = stage(stars.union(across).distinct(), "links")
     groups = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     classes = (

@@ -12,8 +12,8 @@ Not all suffixes are needed. A similarity of sets doesn't ask for one long share
 only short ones), but it does ask for shared members: all members have one global order, and if two sets reach the
 similarity t, the first n - ceil(t n) + 1 members of both have one in common. So the array holds the suffixes that start
 at these members, and no pair at the threshold is lost, for any width, threshold, order or repetition. Any order is
-right; the one taken puts rare members first, by how many members of all sets fall into the same of BUCKETS buckets, so
-that the phrases of a repeated frame are looked at only where a text has nothing rarer.
+right; the one taken puts rare members first (see prefix), so that the phrases of a repeated frame are looked at only
+where a text has nothing rarer.
 
 The suffixes of a shared run are then held against each other across the splits. The key of that join also holds a band
 of sizes, and its condition two upper bounds of the similarity, none of which drops a pair that reaches the threshold at
@@ -25,7 +25,6 @@ verified pair shares are merged, over all partners, into the coverage of the eva
 from __future__ import annotations
 
 import json
-import math
 import re
 from collections.abc import Iterator
 
@@ -36,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm.prefix import first_members, member_counts
 from quillon.llm.words import Hashes, hashed, jaccard, mix, shingles, words
 from quillon.plans.staging import stage
 
@@ -43,7 +43,6 @@ LINE = re.compile(r"\r\n|\r|\n")
 LONG, SHORT = 9, 5  # words of a span that counts as shared in the coverage
 LONG_FROM = 29  # words of a text whose spans are LONG
 MAP_BITS = 256
-BUCKETS, BLOCK = 1 << 18, 1 << 12  # of the counts behind the global order, and of those in one row
 TAIL = 4  # tokens after the first ones by which the suffixes of a run are sorted, four bytes each
 RANGE_ROWS = 2_000_000  # suffixes in one range of the array
 TRAIN, HELD, BOTH = 1, 2, 3
@@ -97,37 +96,6 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return (mix(s) >> np.uint64(20)).astype(np.int64) % BUCKETS
-
-
-def _counted(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for field, seq in zip(batch["field"], batch["seq"]):
-                np.add.at(n, _bucket(_set(field, np.frombuffer(seq, np.uint64), width)), 1)
-        blocks = n.reshape(-1, BLOCK)
-        at = np.flatnonzero(blocks.any(axis=1))
-        yield pd.DataFrame({"block": at.astype(np.int32), "counts": [blocks[k].tobytes() for k in at]})
-
-    return run
-
-
-def _summed(blocks: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(x, np.int64) for x in blocks["counts"]], axis=0)
-    return pd.DataFrame({"block": blocks["block"].iloc[:1], "counts": [total.tobytes()]})
-
-
-def member_counts(nodes: DataFrame, width: int) -> np.ndarray:
-    """How many members of the nodes' sets fall into each bucket; of a fixed size, whatever the table's."""
-    found = nodes.select("field", "seq").mapInPandas(_counted(width), "block int, counts binary")
-    n = np.zeros((BUCKETS // BLOCK, BLOCK), np.int64)
-    for r in found.groupBy("block").applyInPandas(_summed, "block int, counts binary").collect():
-        n[r.block] = np.frombuffer(r.counts, np.int64)
-    return n.ravel()
-
-
 def _suffixes(width: int, near: dict[str, float], counts):
     """The suffixes that start at the first members of each set: their first tokens' hash, the tokens after them, the
     place in the global order, and what bounds the similarity."""
@@ -139,8 +107,7 @@ def _suffixes(width: int, near: dict[str, float], counts):
                 seq = np.frombuffer(seq, np.uint64)
                 after = width if field == "user" else 1
                 s, start = np.unique(shingles(seq, width), return_index=True) if field == "user" else (seq, np.arange(len(seq)))
-                n = len(s) - max(1, math.ceil(near[field] * len(s) - 1e-6)) + 1
-                first = np.lexsort((s, counts.value[_bucket(s)]))[:n]
+                first = first_members(s, counts.value, near[field])
                 short = np.concatenate([(seq >> np.uint64(32)).astype(">u4"), np.zeros(after + TAIL, ">u4")])
                 tails = short[start[first, None] + after + np.arange(TAIL)]
                 parts.append((node, side, field == "user", len(s), parity(s), s[first].view(np.int64), [t.tobytes() for t in tails]))
@@ -243,7 +210,11 @@ class SplitOverlap:
         nodes = stage(nodes.withColumn("node", F.xxhash64("field", "h0", "h1")), "sequence-nodes")
         self.members = seqs.select("id", "trained", F.xxhash64("field", "h0", "h1").alias("node")).distinct()
         shape = "key long, tail binary, side byte, text boolean, node long, place int, size int, m0 long, m1 long, m2 long, m3 long"
-        counts = df.sparkSession.sparkContext.broadcast(member_counts(nodes, width))
+
+        def sets(batch: pd.DataFrame) -> Iterator[np.ndarray]:
+            return (_set(f, np.frombuffer(x, np.uint64), width) for f, x in zip(batch["field"], batch["seq"]))
+
+        counts = df.sparkSession.sparkContext.broadcast(member_counts(nodes.select("field", "seq"), sets))
         suffixes = stage(nodes.select("node", "field", "side", "seq").mapInPandas(_suffixes(width, near, counts), shape), "suffixes")
         live = suffixes.join(shared_runs(suffixes), "key", "left_semi")
 

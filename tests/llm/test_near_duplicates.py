@@ -84,6 +84,24 @@ def test_hot_group(spark):
     assert max(groups.values(), key=len) == set(range(120)) and len(groups) == 61
 
 
+def chain(n: int, step: int, rng: random.Random) -> list[str]:
+    """Texts each of which is close to its neighbours only: many components in the same buckets until all are linked."""
+    w = [rng.choice(VOCABULARY) for _ in range(60 + n * step)]
+    return [" ".join(w[k * step : k * step + 60]) for k in range(n)]
+
+
+@pytest.mark.parametrize("crowd", [0, 4, 256])
+def test_crowded_buckets(spark, crowd):
+    rng = random.Random(9)
+    frame = [rng.choice(VOCABULARY) for _ in range(25)]
+    rows = chain(30, 5, rng) + [" ".join(frame + rng.sample(VOCABULARY, 14)) for _ in range(60)] + [edited(" ".join(frame + VOCABULARY[:12]), rng, 2) for _ in range(40)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = near_duplicate_groups(spark.createDataFrame(rows, "id long, text string"), "id", "text", width=3, threshold=0.7, miss=1e-6, crowd=crowd)
+    want, _ = by_pairs(rows, 3, 0.7, 1)
+    assert {tuple(r) for r in group_pairs(got).collect()} == want and len(want) > 400
+
+
 def test_segments():
     assert segments_for(1.0, 1e-3) == 1
     for t in (0.5, 0.7, 0.8, 0.9):
