@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import ast
 import builtins
-import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterable
+from typing import NamedTuple
+
+import xxhash
+
+from quillon.llm.languages import Languages, differ
+from quillon.llm.refusals import COURTESY, DECLINES, Speech
 
 CJK = "぀-ヿ㐀-䶿一-鿿가-힣"
 TOKEN = re.compile(f"[{CJK}]|[^\\W_{CJK}]+")
@@ -53,24 +59,6 @@ ADDRESS = re.compile(
     re.I | re.X,
 )
 
-# Frequent function words by language.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that it for as with was on are by this be at from or an which not but have we if then when must each can its after so no do now without keep does what why how please make you your only every show one where could would should some all",
-    "es": "el la los las de que y en un una es por con para se del al no si lo su más está como cada entre cuando pero sin sobre entonces primero después así ahora hasta podrías explicar mejor qué",
-    "fr": "le la les de des du et en un une est que qui dans pour par sur au aux ne pas se ce il elle si plus avec sans sous quand mais ou puis donc on chaque peux maintenant vous pouvez votre expliquer",
-    "de": "der die das und in den von zu mit ist im für auf nicht ein eine einen dem des sich auch es an als wenn dann wird aus bei nach oder nur jede jeder noch wir bitte jetzt ohne könntest",
-    "pt": "os as de da dos das que em um uma por com para se na não mais ao está como cada quando mas sem sobre ou então depois primeiro até agora você pode melhor explicar mais isso",
-    "pl": "na do że się nie jest to od po dla za który która jak przez co gdy ale lub oraz każdy ile razy teraz bez proszę",
-    "ru": "и в на с что не по к из за от для это как но он она или если то его так же у о а когда который каждый",
-}
-# Letters that tell languages of the Latin script apart.
-LETTERS = {"es": "ñ¿¡", "fr": "êèœùûîëçôà", "de": "äöüß", "pt": "ãõçâêà", "pl": "ąęłśżźćń"}
-_LANGUAGES = list(FUNCTION_WORDS)
-_OF_WORD: dict[str, list[str]] = {}
-for _k, _v in FUNCTION_WORDS.items():
-    for _w in _v.split():
-        _OF_WORD.setdefault(_w, []).append(_k)
-_OF_LETTER = {c: [k for k, v in LETTERS.items() if c in v] for v in LETTERS.values() for c in v}
 # Names of the languages in these languages, as stems.
 LANGUAGE_NAMES = {
     "en": r"english|inglés|ingles|anglais|englisch|inglês|английск|angielsk|英语|英文",
@@ -81,9 +69,20 @@ LANGUAGE_NAMES = {
     "pl": r"polish\b|polaco|polonais|polnisch|polonês|польск|polsk|波兰",
     "ru": r"russian|ruso\b|russe\b|russisch|russo\b|русск|rosyjsk|俄语|俄文",
     "zh": r"chinese|chino\b|chinois|chinesisch|chinês|китайск|chińsk|中文|汉语",
+    "it": r"italian|italien|итальянск|włosk|意大利",
+    "nl": r"dutch\b|neerland|holand|néerlandais|niederländisch|голландск|нидерландск|niderlandzk|荷兰",
+    "ja": r"japan|japon|japonés|japonês|японск|japońsk|日语|日文|日本",
+    "ko": r"korean|corean|coréen|koreanisch|корейск|koreańsk|韩语|韩文|한국어",
+    "ar": r"arabic|árabe|arabe\b|arabisch|арабск|arabsk|阿拉伯",
+    "tr": r"turkish|turco|turc\b|türkisch|турецк|tureck|土耳其",
+    "uk": r"ukrainian|ucranian|ukrainien|ukrainisch|украинск|ukraińsk|乌克兰",
+    "el": r"\bgreek\b|griego|\bgrec\b|griechisch|греческ|greck|希腊",
+    "hi": r"\bhindi\b|хинди|印地",
 }
 LANGUAGE_NAMES = {k: re.compile(rf"(?:\b|(?<=[一-鿿]))(?:{v})", re.I) for k, v in LANGUAGE_NAMES.items()}
 
+FORMULA = re.compile(r"[\d=<>{}\[\]`^]|\w_\w|\w\(")
+
 CODE_LINE = re.compile(
     r"^\s*(?:def |class |return\b|for .+|while .+|if .+|elif |else:|try:|except|with .+:|import |from \w+ import|print\(|#|@\w+|\}|\{|#include|using |int |public |let |const |var |continue$|break$|pass$)"
     r"|^\s*[\w.\[\], ]+\s*(?:[-+*/|&^%]|//|<<|>>)?=\s*\S|^\s{4,}\S|^\s*[\w.]+\(.*\)?\s*;?$"
@@ -116,14 +115,21 @@ def without_code(text: str) -> str:
     return "\n".join(x for x in lines if not re.match(r"\s*(?:input|output)\s*:|^[\d\s.,;-]*$", x, re.I))
 
 
-def _restates(sentence: str, asked: frozenset[str]) -> bool:
-    """Whether a sentence is made of the user's words."""
+def _restates(sentence: str, asked: frozenset[str], share: float = 0.7) -> bool:
+    """Whether a sentence is made of the user's words, to that share."""
     w = TOKEN.findall(re.sub(r"^(?:[^\s:]+\s+){0,6}[^\s:]+:\s", "", sentence).lower())
-    return len(w) >= 4 and sum(x in asked for x in w) >= 0.7 * len(w)
+    return len(w) >= 4 and sum(x in asked for x in w) >= share * len(w)
 
 
-def is_refusal(text: str, asked: str = "") -> bool:
-    """All that is said either declines, or is said to the reader about declining, or restates what was asked."""
+SURE, LIKELY = 0.63, 0.5  # probabilities from which a sentence declines, or only speaks to the reader
+
+
+def is_refusal(text: str, asked: str, speech: Speech) -> bool:
+    """All that is said either declines, or is said to the reader about declining, or restates what was asked.
+
+    A sentence declines by its wording or by the model of labelled sentences; one with figures or formulas doesn't by
+    the model alone.
+    """
     stripped = TAG.sub(" ", re.sub(r"```[^\n`]*", " ", text)).strip()
     if any(CODE_START.match(x) for x in stripped.split("\n")):
         return False
@@ -132,9 +138,14 @@ def is_refusal(text: str, asked: str = "") -> bool:
         if not re.search(r"[^\W_]", s):
             continue
         s = s.replace("’", "'")
-        if REFUSAL.search(s) and not WORKED_ROUND.search(s):
-            declines = True
-        elif not ADDRESS.search(s):
+        if WORKED_ROUND.search(s):
+            kinds = (0.0, 0.0, 1.0)
+        else:
+            kinds = speech.kinds(s) if not FORMULA.search(s) else (0.0, 0.0, 1.0)
+            if REFUSAL.search(s) or kinds[DECLINES] >= SURE and not _restates(s, known := known or frozenset(TOKEN.findall(asked.lower())), 0.4):
+                declines = True
+                continue
+        if not ADDRESS.search(s) and kinds[DECLINES] + kinds[COURTESY] < LIKELY:
             known = known or frozenset(TOKEN.findall(asked.lower()))
             if not _restates(s, known):
                 return False
@@ -158,39 +169,15 @@ def is_copy(text: str, asked: str) -> bool:
     return kept >= 0.6 * (len(a) - 1) and len(a) >= 0.3 * len(u)
 
 
-def language(text: str) -> str | None:
-    """The language of prose, or None if it can't be told."""
-    words = TOKEN.findall(text.lower())
-    letters = sum(len(w) for w in words if not w.isdigit())
-    if not letters:
-        return None
-    cjk = sum(len(w) == 1 and "㐀" <= w <= "鿿" for w in words)
-    if cjk >= 6 and cjk > 0.4 * letters:
-        return "zh"
-    if (cyr := sum("Ѐ" <= c <= "ӿ" for c in text)) > 0.5 * letters and cyr >= 12:
-        return "ru"
-    if len(words) < 4:
-        return None
-    score = dict.fromkeys(_LANGUAGES, 0.0)
-    for w in words:
-        for k in (of := _OF_WORD.get(w, ())):
-            score[k] += 1 / len(of)
-    if not text.isascii():
-        for c in text.lower():
-            if c >= "\x80":
-                for k in (of := _OF_LETTER.get(c, ())):
-                    score[k] += 0.8 / len(of)
-    best, second = sorted(score, key=score.get, reverse=True)[:2]
-    return best if score[best] >= (1 if len(words) <= 9 else max(1.5, 0.1 * len(words))) and score[best] >= 1.5 * score[second] else None
-
-
-def is_other_language(text: str, asked: str) -> bool:
+def is_other_language(text: str, asked: str, model: Languages) -> bool:
     """Whether the prose is in another language than the user's, which the user didn't name."""
-    answer = language(without_code(text))
-    if answer is None:
+    found = differ(model, without_code(text), without_code(asked))
+    if not found:
         return False
-    question = language(without_code(asked))
-    return question is not None and answer != question and not LANGUAGE_NAMES[answer].search(asked)
+    answer, question = found
+    named = {k for k, p in LANGUAGE_NAMES.items() if p.search(asked)} - {question}
+    # a language that the model doesn't have may have been asked for
+    return answer not in named and not any(k not in model.labels for k in named)
 
 
 def _word(w: str, first: bool) -> str:
@@ -201,52 +188,52 @@ def _word(w: str, first: bool) -> str:
     return w.lower()
 
 
-class Endings:
-    """How likely a sentence ends after given words; counted over sentences whose end is marked."""
-
-    def __init__(self, last: dict[str, tuple[int, int]], before: dict[str, tuple[int, int]], prior: float):
-        self.last, self.before, self.prior = last, before, prior
-
-    @classmethod
-    def fit(cls, texts: list[str]) -> Endings:
-        ends, all_, ends2, all2 = Counter(), Counter(), Counter(), Counter()
-        for text in texts:
-            for s in SENTENCE.split(without_code(text)):
-                if not STOPPED.search(s.strip()):
-                    continue
-                w = [_word(x, k == 0) for k, x in enumerate(TOKEN.findall(s))]
-                if len(w) < 4:
-                    continue
-                all_.update(w)
-                ends[w[-1]] += 1
-                pairs = [f"{a} {b}" for a, b in zip(w, w[1:])]
-                for k in range(1, len(w)):
-                    all2[w[k - 1]] += 1
-                    all2[pairs[k - 1]] += 1
-                ends2[w[-2]] += 1
-                ends2[pairs[-1]] += 1
-        n, e = sum(all_.values()), sum(ends.values())
-        keep = {k for k, c in all2.items() if c >= 3}
-        return cls({w: (ends[w], c) for w, c in all_.items()}, {w: (ends2[w], all2[w]) for w in keep}, e / max(1, n))
-
-    def score(self, text: str) -> float:
-        """Log odds that a sentence ends with the text; unknown last words count as broken off."""
-        w = [_word(x, k == 0) for k, x in enumerate(TOKEN.findall(text))]
-        if not w:
-            return 0.0
-        odds = lambda e, n, k: math.log((e + k * self.prior) / (n - e + k * (1 - self.prior)))
-        base = math.log(self.prior / (1 - self.prior))
-        total = base
-        e, n = self.last.get(w[-1], (0, 0))
-        name = n == 0 and TOKEN.findall(text)[-1][:1].isupper()
-        if n == 0 and not name:
-            total -= 1.5
-        total += odds(e, n, 2) - base
-        if len(w) > 1:
-            for key, k in ((w[-2], 2), (f"{w[-2]} {w[-1]}", 4)):
-                e, n = self.before.get(key, (0, 0))
-                total += odds(e, n, k) - base
-        return total
+#: Kinds of counts of how often a sentence ends after something: the word, the word before it, the last two words.
+LAST, BEFORE, BOTH = 0, 1, 2
+
+
+def _key(kind: int, gram: str) -> int:
+    x = xxhash.xxh3_64_intdigest(f"{kind}:{gram}")
+    return x - 2**64 if x >= 2**63 else x
+
+
+def ending_counts(texts: Iterable[str]) -> dict[tuple[int, int], list[int]]:
+    """(kind, key) -> [how often a sentence ends there, how often it stands at all], over sentences with a marked end."""
+    out: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
+    for text in texts:
+        for s in SENTENCE.split(without_code(text)):
+            if not STOPPED.search(s.strip()):
+                continue
+            w = [_word(x, k == 0) for k, x in enumerate(TOKEN.findall(s))]
+            if len(w) < 4:
+                continue
+            for k, x in enumerate(w):
+                c = out[LAST, _key(LAST, x)]
+                c[0] += k == len(w) - 1
+                c[1] += 1
+                if k:
+                    for kind, gram in ((BEFORE, w[k - 1]), (BOTH, f"{w[k - 1]} {x}")):
+                        c = out[kind, _key(kind, gram)]
+                        c[0] += k == len(w) - 1
+                        c[1] += 1
+    return out
+
+
+class Open(NamedTuple):
+    """A text that ends without a mark: it is truncated if the log odds of a sentence's end there are below `below`."""
+
+    below: float
+    keys: list[int]  # of LAST, BEFORE and BOTH, or of LAST alone
+    name: bool  # the last word has a capital
+
+
+def _ending(text: str, below: float) -> Open | bool:
+    tokens = TOKEN.findall(text)
+    w = [_word(x, k == 0) for k, x in enumerate(tokens)]
+    if not w:
+        return 0.0 < below
+    keys = [_key(LAST, w[-1])] + ([_key(BEFORE, w[-2]), _key(BOTH, f"{w[-2]} {w[-1]}")] if len(w) > 1 else [])
+    return Open(below, keys, tokens[-1][:1].isupper())
 
 
 def _open_code(code: str) -> bool:
@@ -274,8 +261,8 @@ def _open_code(code: str) -> bool:
     return False
 
 
-def is_truncated(text: str, endings: Endings, evidence: float = 0.0) -> bool:
-    """Whether the text breaks off. evidence: log odds for it from elsewhere (a longer version, a length limit)."""
+def is_truncated(text: str) -> bool | Open:
+    """Whether the text breaks off, or what it depends on."""
     if text.count("```") % 2:
         return True
     for tag in re.findall(r"<(think|reasoning|answer|solution|scratchpad)>", text, re.I):
@@ -315,19 +302,20 @@ def is_truncated(text: str, endings: Endings, evidence: float = 0.0) -> bool:
     # inside a paragraph whose other sentences are stopped, a missing stop tells more than in a list or a single line
     listed = re.match(r"\s*(?:[-*•]|\d+[.)])\s", lines[-1])
     inside = not listed and re.search(r"[.!?]\s|[。！？]", last)
-    return endings.score(last) - evidence < (5 if inside else -5 if listed else -1.5)
+    return _ending(last, 5.0 if inside else -5.0 if listed else -1.5)
 
 
-def defect(text: str | None, asked: str | None, endings: Endings, evidence: float = 0.0) -> str | None:
-    """The kind of defect of an answer, or None."""
+def defect(text: str | None, asked: str | None, languages: Languages, speech: Speech) -> str | Open | None:
+    """The kind of defect of an answer, None, or what a truncation depends on."""
     seen = visible(text)
     if not seen or is_empty(seen):
         return "empty"
     asked = asked or ""
-    if is_refusal(seen, asked):
+    if is_refusal(seen, asked, speech):
         return "refusal"
     if is_copy(seen, asked):
         return "copy"
-    if is_other_language(seen, asked):
+    if is_other_language(seen, asked, languages):
         return "other_language"
-    return "truncated" if is_truncated(seen, endings, evidence) else None
+    cut = is_truncated(seen)
+    return cut if isinstance(cut, Open) else "truncated" if cut else None

@@ -31,6 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.samples import SEGMENT, labelled_sample, passages
+
 # The single-byte encodings that texts are read in by mistake, and the multi-byte ones.
 SINGLE = ["latin-1", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp437", "cp850", "mac-roman"]
 MULTI = ["gb18030", "cp950", "cp932", "cp949", "euc-jp"]
@@ -39,10 +41,8 @@ WRITTEN = ["cp1253", "cp1254", "cp1255", "cp1256", "cp1257", "cp1258", "iso8859-
 LEVEL = 6
 DICT_BYTES = 96 << 10
 TRAIN_BYTES = 32 << 20  # of passages that one dictionary is trained on, chosen by their hashes
-PASSAGE = 1000  # characters of a passage of the sample; longer ones are cut into several
 LETTERS = 32  # that may stand for a lost one
 ESCAPE = 4  # bytes that a control or lost character costs besides its own: clean text holds none
-SEGMENT = re.compile(r"[^\n.!?。！？]*(?:[.!?。！？]+|\n|$)\s*")
 LOST = re.compile("[^\\W\\d_]�|�[^\\W\\d_]|��|[^\\x00-\\x7f\\s]�|�[^\\x00-\\x7f\\s]")
 CONTROL = re.compile("[\x80-\x84\x86-\x9f]")  # no text means these; what shows them was decoded wrongly
 CJK = re.compile("[\u2e80-\u9fff\uac00-\ud7ff\uf900-\ufaff]")
@@ -198,15 +198,6 @@ def looks_encoded(text: str) -> bool:
     return bool(_pairs(tuple(LATIN)).search(text)) and any(apply((w, "utf-8"), text) != text for w in LATIN)
 
 
-def passages(text: str, most: int | None = None) -> list[str]:
-    """Sentences or lines of at most PASSAGE characters, in order; if there are more than `most`, those of the least hashes."""
-    cut = [s[k : k + PASSAGE] for s in SEGMENT.findall(text) for k in range(0, len(s), PASSAGE)]
-    if most is None or len(cut) <= most:
-        return cut
-    order = sorted(range(len(cut)), key=lambda k: xxhash.xxh3_64_intdigest(cut[k].encode("utf-8", "surrogatepass")))
-    return [cut[k] for k in sorted(order[:most])]
-
-
 class Model:
     """What is usual: character pairs and a compression dictionary for each language."""
 
@@ -404,29 +395,8 @@ def judge(model: Model, text: str, chain_cost: int = 3) -> tuple[str, list[str],
 
 
 def fit_model(df: DataFrame, text_col: str, lang_col: str, per_language: int = 1500, per_text: int = 400, languages: int = 200) -> Model:
-    """Model from the texts of each language label (the label's first two letters, in lower case).
-
-    For each of the `languages` most frequent labels about per_language distinct texts are drawn by their hashes, and of
-    each at most per_text passages; all other labels are drawn from together, as one. Copies of a text count once.
-    """
-    lang = F.substring(F.lower(F.trim(F.col(lang_col))), 1, 2)
-    rows = df.select(F.xxhash64(text_col).alias("h"), lang.alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and lang <> 'un'")
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
-    frequent = {r.lang: r.n for r in sizes.orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    if not frequent:
-        return Model.fit([])
-    rare = sizes.where(~F.col("lang").isin(*frequent)).agg(F.sum("n").alias("n")).first().n
-    share = lambda n: min(1_000_000, int(1_000_000 * per_language / max(1, n)))
-    known = F.create_map(*(F.lit(x) for k, n in frequent.items() for x in (k, share(n))))
-    rows = rows.withColumn("share", F.coalesce(known[F.col("lang")], F.lit(share(rare or 0))))
-    rows = rows.withColumn("lang", F.when(F.col("lang").isin(*frequent), F.col("lang")).otherwise(""))
-    sample = rows.where(F.pmod("h", F.lit(1_000_000)) < F.col("share")).dropDuplicates(["lang", "h"]).select("lang", "text")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"lang": b["lang"], "passages": [passages(t, per_text) for t in b["text"]]})
-
-    return Model.fit([(r.lang, r.passages) for r in sample.mapInPandas(cut, "lang string, passages array<string>").toLocalIterator()])
+    """Model from a bounded sample of the texts of each language label (see labelled_sample)."""
+    return Model.fit(labelled_sample(df, text_col, lang_col, per_language, per_text, languages))
 
 
 def restored_texts(df: DataFrame, id_col: str, text_col: str, lang_col: str, *, per_language: int = 1500, per_text: int = 400, languages: int = 200, chain_cost: int = 3) -> DataFrame:

@@ -36,7 +36,8 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Defective answers with their defect."""
-    found = defective_answers(table(spark, folder, "messages"), "message_id", "request_id", "turn", "role", "content", "tool_calls")
+    labelled = table(spark, folder, "documents").select("text", "lang")
+    found = defective_answers(table(spark, folder, "messages"), "message_id", "request_id", "turn", "role", "content", "tool_calls", labelled=labelled)
     return found.withColumnRenamed("id", "message_id")
 
 

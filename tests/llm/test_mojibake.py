@@ -1,6 +1,7 @@
 import pytest
 
-from quillon.llm.mojibake import SINGLE, Model, apply, decoded, fit_model, judge, passages, restored_texts
+from quillon.llm.mojibake import SINGLE, Model, apply, decoded, fit_model, judge, restored_texts
+from quillon.llm.samples import passages
 
 # Invented sentences; enough of them to learn the languages' letters from.
 SENTENCES = {
