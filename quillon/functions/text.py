@@ -9,7 +9,9 @@ from quillon.functions.columns import stripped
 
 # The fences and tags of model responses.
 FENCE, PYTHON_FENCE = "```", "```python"
-CASE = r"(?s)```(?:[A-Za-z]*\n)?\s*Input:\n(.*?)\nOutput:\n(.*?)\n?```"
+CASE = r"(?s)```.*?Input:\n(.*?)\nOutput:\n(.*?)```"
+# The labels of a single test and what follows its output.
+INPUT_LABEL, OUTPUT_LABEL, EXPLANATION_LABEL = "**Test Input:**", "**Test Output:**", "**Explanation:"
 
 
 def python_code(text: Column) -> Column:
@@ -100,37 +102,33 @@ def has_key(document: Column, key: str) -> Column:
     return F.array_contains(F.json_object_keys(document), key)
 
 
-# Signs of a language in source code.
-LANGUAGE_SIGNS = {
-    "java": [r"\bpublic\s+(?:static\s+)?(?:class|void)\b", r"\bSystem\.out\.print", r"\bimport\s+java\."],
-    "cpp": [r"#include\s*<(?:iostream|vector|string|algorithm|bits/)", r"\bstd::", r"\bcout\s*<<|\bcin\s*>>", r"\busing\s+namespace\b"],
-    "c": [r"#include\s*<(?:stdio|stdlib|string)\.h>", r"\bprintf\s*\(", r"\bscanf\s*\(", r"\bint\s+main\s*\("],
-    "python": [r"(?m)^\s*def\s+\w+\s*\(.*\)\s*:", r"(?m)^\s*(?:import|from)\s+\w+", r"\bprint\s*\(", r"(?m):\s*$"],
-}
+def token_estimate(text: Column) -> Column:
+    """Words as a stand-in for tokens, for length filters."""
+    return F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
 
 
-def code_language(code: Column) -> Column:
-    """java, cpp, c or python by the most signs, the first of these at a tie, python without any."""
-    votes = {k: sum((code.rlike(p).cast("int") for p in v), F.lit(0)) for k, v in LANGUAGE_SIGNS.items()}
-    top = F.greatest(*votes.values())
-    out = F.when(top == 0, "python")
-    for k, v in votes.items():
-        out = out.when(v == top, k)
-    return F.when(code.isNotNull(), out)
+def _quoted(text: str) -> str:
+    return rf"\Q{text}\E"
 
 
-def token_estimate(text: Column) -> Column:
-    """Words as a stand-in for tokens, for length filters."""
-    return F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
+def labelled_case(text: Column) -> Column:
+    """struct(input, output) of a response in the labelled form; both are empty where a part is missing.
 
+    Each part is its label's last fenced block, or else the last plain text after the label, up to the output's label
+    for the input, and up to the explanation, the next input or the end for the output. The word plaintext before a line
+    end goes, written line ends become line ends, and outer white space and quotes go.
+    """
 
-# Signs of the two generations of Python.
-PYTHON2_SIGNS = [r"(?m)^\s*print\s+[^(\s]", r"\braw_input\s*\(", r"\bxrange\s*\(", r"\.has_key\s*\(", r"\bexcept\s+\w+\s*,\s*\w+\s*:", r"\biteritems\s*\(", r"<>", r"\bunicode\s*\("]
-PYTHON3_SIGNS = [r"\bprint\s*\(", r"\bf[\"']", r"->\s*\w+\s*:", r"\bnonlocal\b", r"\basync\s+def\b", r"\bexcept\s+\w+\s+as\s+\w+\s*:", r":=", r"\byield\s+from\b"]
+    def last(pattern: str) -> Column:
+        return F.try_element_at(F.regexp_extract_all(text, F.lit("(?s)" + pattern), F.lit(1)), F.lit(-1))
 
+    def part(label: str, until: str) -> Column:
+        fenced, plain = last(rf"{_quoted(label)}\s*```(.*?)```"), last(rf"{_quoted(label)}\s*(.*?)(?={until})")
+        found = F.replace(F.replace(F.coalesce(F.regexp_replace(fenced, r"^\n+", ""), stripped(plain)), F.lit("plaintext\n"), F.lit("")), F.lit("\\n"), F.lit("\n"))
+        return F.regexp_replace(stripped(found), r'^"+|"+$', "")
 
-def python_version(code: Column) -> Column:
-    """python2, python3 or python by the signs of either; python where they balance."""
-    votes = lambda signs: sum((code.rlike(p).cast("int") for p in signs), F.lit(0))
-    two, three = votes(PYTHON2_SIGNS), votes(PYTHON3_SIGNS)
-    return F.when(code.isNull(), None).when(two > three, "python2").when(three > two, "python3").otherwise("python")
+    given = part(INPUT_LABEL, _quoted(OUTPUT_LABEL))
+    wanted = part(OUTPUT_LABEL, rf"{_quoted(EXPLANATION_LABEL)}|{_quoted(INPUT_LABEL.removesuffix('**'))}|$")
+    whole = given.isNotNull() & wanted.isNotNull()
+    empty = F.when(text.isNotNull(), F.lit(""))
+    return F.struct(F.when(whole, given).otherwise(empty).alias("input"), F.when(whole, wanted).otherwise(empty).alias("output"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.functions import answers as X
 from quillon.functions import chat, text
 from quillon.functions.columns import stripped
 from quillon.plans.tables import table
@@ -31,7 +30,7 @@ def fenced_code_extract(spark, folder):
     return answers(spark, folder).select("message_id", text.fenced_code(F.col("content")).alias("code"))
 
 
-_CASES = ANSWERS + r""", c AS (SELECT message_id, content, list_zip(regexp_extract_all(content, '(?s)```(?:[A-Za-z]*\n)?\s*Input:\n(.*?)\nOutput:\n(.*?)\n?```', 1), regexp_extract_all(content, '(?s)```(?:[A-Za-z]*\n)?\s*Input:\n(.*?)\nOutput:\n(.*?)\n?```', 2)) AS z FROM a)
+_CASES = ANSWERS + r""", c AS (SELECT message_id, content, list_zip(regexp_extract_all(content, '(?s)```[\s\S]*?Input:\n([\s\S]*?)\nOutput:\n([\s\S]*?)```', 1), regexp_extract_all(content, '(?s)```[\s\S]*?Input:\n([\s\S]*?)\nOutput:\n([\s\S]*?)```', 2)) AS z FROM a)
 """
 
 
@@ -103,24 +102,6 @@ def choice_extract(spark, folder):
     return _synthetic(spark, folder).select("event_id", text.choice_answer(F.col("t")).alias("choice"), text.labelled_answer(F.col("t")).alias("labelled"))
 
 
-@query()
-def boxed_extract(spark, folder):
-    b = answers(spark, folder).where(F.col("content").contains("boxed")).select("message_id", X.boxed_udf("content").alias("boxed"))
-    return b.select("message_id", "boxed", X.normal_udf("boxed").alias("normal"), X.same_udf("boxed", F.concat(F.col("boxed"), F.lit(".0"))).alias("same"))
-
-
-@query()
-def syntax_check(spark, folder):
-    code = text.fenced_code(F.col("content"))
-    return answers(spark, folder).select("message_id", code.alias("code")).where("code is not null").select("message_id", X.parses_udf("code").alias("parses"))
-
-
-@query()
-def lang_detect(spark, folder):
-    code = answers(spark, folder).select("message_id", text.fenced_code(F.col("content")).alias("code")).where("code is not null")
-    return code.select("message_id", text.code_language(F.col("code")).alias("language"))
-
-
 SFT = "WITH s AS (SELECT sample_id, messages FROM sft_train_codegen WHERE messages IS NOT NULL)"
 
 
@@ -202,16 +183,3 @@ def score_by_source(spark, folder):
     rows = _synthetic(spark, folder).select("event_id", source.alias("data_source"), F.col("t").alias("response"), F.lit("1234000").alias("truth"))
     s = Scorers().add("hash", number_match(format_score=0.1)).add("choice", choice_match).add("label_*", labelled_match)
     return s.score(rows).select("event_id", "data_source", "score")
-
-
-@query()
-def python_versions(spark, folder):
-    code = answers(spark, folder).select("message_id", text.fenced_code(F.col("content")).alias("code")).where("code is not null")
-    return code.select("message_id", text.python_version(F.col("code")).alias("version"))
-
-
-@query()
-def labelled_case_extract(spark, folder):
-    t = F.concat(F.lit("**Test Input:**\n```plaintext\n"), F.col("user_id").cast("string"), F.lit("\n```\n**Test Output:**\n```"), F.col("event_type"), F.lit("```"))
-    e = table(spark, folder, "events").select("event_id", t.alias("t"))
-    return e.select("event_id", X.labelled_input_udf("t").alias("input"), X.labelled_output_udf("t").alias("output"))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import answers as X
-from quillon.functions import chat, text
+from quillon.functions import chat, detect, text
 from quillon.sources import io
 
 
@@ -15,11 +15,12 @@ def test_code(spark):
     assert one(spark, "x=1\n```", text.python_code) == "x=1"
     assert one(spark, None, text.python_code) is None
     assert one(spark, "```\nz\n```", text.fenced_code) == "z\n" and one(spark, "none", text.fenced_code) is None
-    assert one(spark, "#include <iostream>\nint main(){ std::cout << 1; }", text.code_language) == "cpp"
-    assert one(spark, "hello", text.code_language) == "python"
+    assert one(spark, "#include <iostream>\nint main(){ std::cout << 1; }", detect.code_language) == "cpp"
+    assert one(spark, "hello", detect.code_language) == "python"
 
 
 def test_cases(spark):
+    assert [tuple(r) for r in one(spark, "```plaintext\nTest 1\nInput:\n1\nOutput:\n2\n```", text.test_cases)] == [("1", "2")]
     s = "```\nInput:\n1 2\nOutput:\n3\n```\n```\nInput:\n1 2\nOutput:\n3\n```"
     assert [tuple(r) for r in one(spark, s, text.test_cases)] == [("1 2", "3")] * 2
     assert len(one(spark, s, lambda c: text.distinct_cases(text.test_cases(c)))) == 1
@@ -33,14 +34,28 @@ def test_answers(spark):
 
 
 def test_boxed_and_equality():
-    assert X.last_boxed(r"\boxed{1} then \boxed{\frac{1}{2}}") == r"\frac{1}{2}" and X.last_boxed("none") is None and X.last_boxed(r"\boxed{1") is None
-    for a, b in ((r"\dfrac12", "1/2"), ("0.5", r"\frac{1}{2}"), ("1,000", "1000"), ("(1, 2)", "(1,2)"), ("50\\%", "50"), ("3 meters", "3")):
+    assert X.boxed_content(r"\boxed{1} then \boxed{\frac{1}{2}}") == r"\frac{1}{2}" and X.boxed_content("none") is None and X.boxed_content(r"\boxed{1") is None
+    for a, b in ((r"\dfrac{1}{2}", "1/2"), ("1,000", "1000"), ("(1, 2)", "(1,2)"), ("50\\%", "50"), ("3 meters", "3 "), ("5 cm", "5 "), ("x+x", "2*x"), ("7 3/4", "31/4"), ("2 million", "2*10^6")):
         assert X.same_answer(a, b), (a, b)
-    assert not X.same_answer("1", "2") and not X.same_answer(None, "1")
-    assert X.close_number("0.5", "50") and not X.close_number("1", "x")
+    for a, b in (("1", "2"), (None, "1"), ("2/4", "1/2"), ("x", "y"), ("[1,2]", "(1,2)"), ("1.5", "1"), ("2 million", "2000000"), ("9**9**9", "1"), ("__import__('os')", "1")):
+        assert not X.same_answer(a, b), (a, b)
+    assert X.close_answer("0.5", "50") and not X.close_answer("1", "x") and X.close_answer("[[1,2],[3,4]]", r"\begin{pmatrix}1&2\\3&4\end{pmatrix}") and X.close_answer("Point(1, 2)", "(1,2)") and X.close_answer("101_2", "101")
+    assert X.graded("Step 2: so \\boxed{12}", "12") == (True, True, "12") and X.graded(None, "1") == (False, False, None) and X.graded("The answer is 3", "4")[0] is False
     assert X.parses("x = 1") and not X.parses("x =") and not X.parses(None)
 
 
+def test_plain_forms(spark):
+    from quillon.functions import grading
+
+    cases = [("\\frac1", "\\frac1"), ("\\frac", None), ("\\sqrt", None), ("", ""), (None, None), ("01/2", "01/2"), ("a=b=c", "a=b=c"), ("-3/4", "\\frac{-3}{4}"), ("\\fracab c", "\\frac{a}{b}c")]
+    df = spark.createDataFrame([(a, b) for a, b in cases], "a string, b string")
+    assert [(r.a, r.x) for r in df.select("a", grading.plain_form(F.col("a")).alias("x")).collect()] == cases
+    same = df.select(grading.same_plain(F.col("a"), F.lit("\\frac")).alias("x")).collect()
+    assert [r.x for r in same] == [False, True, False, False, False, False, False, False, False]
+    with pytest.raises(Exception, match="no box"):
+        df.where("a = ''").select(grading.unboxed(F.col("a"), strict=True)).collect()
+
+
 def test_chat(spark):
     df = spark.createDataFrame([([("system", "S"), ("user", "U"), ("assistant", "A")],), ([("user", "U")],), ([],)], "m array<struct<role:string,content:string>>")
     p, c = chat.completion_pair("m")
@@ -112,7 +127,15 @@ def test_scorers(spark):
         s.score(other).collect()
 
 
-def test_labelled_cases():
-    assert X.labelled_case('**Test Input:**\n```plaintext\n1\\n2\n```\n**Test Output:**\n```"x"```') == ("1\n2", "x")
-    assert X.labelled_case("**Test Input:** 3\n**Test Output:** 4\n**Explanation:** y") == ("3", "4")
-    assert X.labelled_case("nothing") == (None, None) and X.labelled_case(None) == (None, None)
+def test_labelled_cases(spark):
+    pick = lambda s: tuple(one(spark, s, text.labelled_case))
+    assert pick('**Test Input:**\n```plaintext\n1\\n2\n```\n**Test Output:**\n```"x"```') == ("1\n2", "x")
+    assert pick("**Test Input:** 3\n**Test Output:** 4\n**Explanation:** y") == ("3", "4")
+    assert pick("**Test Input:**\n```\n3\n```\n**Test Output:** 4") == ("3", "4")
+    assert pick("nothing") == ("", "") and pick(None) == (None, None)
+
+
+def test_votes_of_languages(spark):
+    """As the number of signs says: a call of input and range and items speak for Python 3."""
+    code = "n = int(input())\nfor i in range(n):\n    for k, v in d.items():\n        pass"
+    assert one(spark, code, detect.python_version) == "python3" and one(spark, "x", detect.python_version) == "python" and one(spark, None, detect.code_language) is None
