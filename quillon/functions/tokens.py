@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions.recursions import counted_positions
+
 CUTS = ("left", "right", "middle", "error")
 
 
@@ -20,10 +22,8 @@ def last_of(mask: Column, n: int) -> Column:
 
 
 def position_ids(mask: Column) -> Column:
-    """Running count of mask minus one, at least 0: linear in the length, by one fold."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("n"))
-    fold = F.aggregate(mask, start, lambda a, m: F.struct(F.concat(a["out"], F.array(F.greatest(a["n"] + m.cast("int") - 1, F.lit(0)))).alias("out"), (a["n"] + m.cast("int")).alias("n")))
-    return fold["out"]
+    """Running count of mask minus one, at least 0."""
+    return counted_positions(mask)
 
 
 def truncated(ids: Column, most: int, cut: str) -> Column:
@@ -78,3 +78,23 @@ def prompt_response_lengths(mask: Column, response: int) -> tuple[Column, Column
     """Valid tokens before and in the last `response` entries."""
     total = lambda m: F.aggregate(m, F.lit(0), lambda a, x: a + x.cast("int"))
     return total(mask) - total(last_of(mask, response)), total(last_of(mask, response))
+
+
+def unpadded(ids: Column, mask: Column) -> Column:
+    """The entries whose mask is 1."""
+    return F.transform(F.filter(F.arrays_zip(ids.alias("x"), mask.alias("m")), lambda z: z["m"] == 1), lambda z: z["x"])
+
+
+def pair_stack(chosen: Column, rejected: Column, to: int, pad, cut: str = "right") -> Column:
+    """Array of the two sequences of a preference pair, cut and filled on the right to the same length."""
+    return F.array(*(padded(truncated(x, to, cut), to, pad, left=False) for x in (chosen, rejected)))
+
+
+def joined_response(prompt: Column, response: Column) -> Column:
+    """Ids, masks or positions of the prompt followed by those of the response."""
+    return F.concat(prompt, response)
+
+
+def limited_request(prompt: Column, response: Column, most_response: int, most: int) -> Column:
+    """The response cut to its own limit and to what the prompt leaves of the whole."""
+    return F.slice(response, F.lit(1), F.least(F.lit(most_response), F.greatest(F.lit(most) - F.size(prompt), F.lit(0))))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.columns import stripped
+from quillon.plans.staging import stage
 
 # Weights of the rewards and thresholds of "all tests passed".
 PASS_EPS = 1e-6
@@ -33,13 +34,21 @@ def with_verdicts(executions: DataFrame, tests: DataFrame) -> DataFrame:
     an expected output fails; a missing error stream counts as empty. A row repeated as a whole counts once.
     """
     key = ["task_id", "sol_idx", "test_idx"]
-    rows = executions.dropDuplicates(key).join(tests.select("task_id", "test_idx", "expected"), ["task_id", "test_idx"], "left")
+    # outputs are long: they are shuffled once, to the expected output; repeated rows are dropped from the verdicts
+    rows = executions.join(tests.select("task_id", "test_idx", "expected"), ["task_id", "test_idx"], "left")
     lang = F.coalesce(F.lower(stripped("language")), F.lit("python"))
     equal = stripped("stdout") == stripped("expected")
     quiet = F.coalesce("stderr", F.lit("")) == ""
     rule = F.when(lang.isin("python", "py", "python3"), equal & quiet & (F.col("returncode") == 0) & (F.col("stdout") != ""))
     rule = rule.when(lang.isin("java", "c"), equal & quiet).otherwise(equal)
-    return rows.select(*key, F.coalesce(rule & ~F.coalesce("timed_out", F.lit(False)), F.lit(False)).alias("passed"))
+    passed = F.coalesce(rule & ~F.coalesce("timed_out", F.lit(False)), F.lit(False))
+    return rows.groupBy(*key).agg(F.bool_or(passed).alias("passed"))
+
+
+def assertion_verdicts(executions: DataFrame, mark: str = "PASS") -> DataFrame:
+    """(task_id, sol_idx, test_idx, passed) of runs that print the mark once their assertions hold."""
+    passed = F.coalesce(F.col("stdout").contains(mark) & ~F.coalesce("timed_out", F.lit(False)), F.lit(False))
+    return executions.groupBy("task_id", "sol_idx", "test_idx").agg(F.bool_or(passed).alias("passed"))
 
 
 def pass_matrix(verdicts: DataFrame) -> DataFrame:
@@ -81,36 +90,44 @@ def working_solution(verdicts: DataFrame) -> DataFrame:
     return ok.groupBy("task_id").agg(F.min("sol_idx").alias("sol_idx"))
 
 
-def discrimination(verdicts: DataFrame, reference: int = 0, *, denominator: str = "requested", unique: DataFrame | None = None) -> DataFrame:
+def discrimination(
+    verdicts: DataFrame, reference: int = 0, *, denominator: str = "requested", unique: DataFrame | None = None, over: str = "unique", pools: str | None = None
+) -> DataFrame:
     """Reward parts of a task's tests, judged by the reference solution and the other candidates.
 
     (task_id, n_tests, n_unique, n_valid, validity_ratio, clipped_validity, discrimination, brevity, duplication).
     A test is valid if the reference passes it. discrimination is the share of candidates that fail a valid test, 0
     without valid tests. clipped_validity divides by at least the requested number of tests, or by the unique ones.
-    unique (task_id, test_idx, text) says which tests are repeats; without it each is unique.
+    unique (task_id, test_idx, text) says which tests are repeats; without it each is unique. over says of which tests
+    validity_ratio and brevity are shares: the unique ones, or all. With pools, a column of the verdicts that says from
+    which round of training a candidate is, there is also discrimination_{pool} for each, by the candidates of that pool;
+    discrimination is that of all.
     """
-    tests = verdicts.select("task_id", "test_idx").distinct()
+    v = stage(verdicts, "verdicts")  # a few numbers a row, read three times
+    tests = v.groupBy("task_id", "test_idx").agg(F.bool_or((F.col("sol_idx") == reference) & F.col("passed")).alias("valid"))
     if unique is not None:
         kept = unique.groupBy("task_id", "text").agg(F.min("test_idx").alias("test_idx")).select("task_id", "test_idx", F.lit(True).alias("kept"))
-        tests = tests.join(kept, ["task_id", "test_idx"], "left")
+        tests = tests.join(kept, ["task_id", "test_idx"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     else:
         tests = tests.withColumn("kept", F.lit(True))
-    valid = verdicts.where((F.col("sol_idx") == reference) & F.col("passed")).select("task_id", "test_idx", F.lit(True).alias("valid"))
-    tests = tests.join(valid, ["task_id", "test_idx"], "left").select("task_id", "test_idx", F.coalesce("kept", F.lit(False)).alias("kept"), F.coalesce("valid", F.lit(False)).alias("valid"))
-    per_task = tests.groupBy("task_id").agg(F.count("*").alias("n_tests"), F.count_if("kept").alias("n_unique"), F.count_if(F.col("kept") & F.col("valid")).alias("n_valid"))
-    good = tests.where("kept and valid").select("task_id", "test_idx")
-    # semi-join first: only valid tests are held against candidates
-    failing = (
-        verdicts.where(F.col("sol_idx") != reference).join(good, ["task_id", "test_idx"], "left_semi").groupBy("task_id", "sol_idx").agg(F.bool_or(~F.col("passed")).alias("fails"))
-    ).groupBy("task_id").agg(F.count_if("fails").alias("n_fail"))
-    n = verdicts.where(F.col("sol_idx") != reference).select("task_id", "sol_idx").distinct().groupBy("task_id").agg(F.count("*").alias("n_candidates"))
+    tests = stage(tests, "tests")
+    per_task = tests.groupBy("task_id").agg(
+        F.count("*").alias("n_tests"), F.count_if("kept").alias("n_unique"), F.count_if(F.col("kept") & F.col("valid")).alias("n_valid"),
+    )
+    names = [r[0] for r in v.select(pools).where(F.col(pools).isNotNull()).distinct().orderBy(pools).collect()] if pools else []  # rounds of training: a few
+    fails = F.bool_or(F.col("kept") & F.col("valid") & ~F.col("passed"))
+    by = v.where(F.col("sol_idx") != reference).join(tests, ["task_id", "test_idx"]).groupBy("task_id", "sol_idx", *([pools] if pools else [])).agg(fails.alias("fails"))
+    share = lambda of: F.try_divide(F.count_if(F.col("fails") & of).cast("double"), F.count_if(of))
+    judged = by.groupBy("task_id").agg(share(F.lit(True)).alias("_d"), *(share(F.col(pools) == p).alias(f"_d_{p}") for p in names))
     below = F.greatest(F.lit(REQUESTED_TESTS), F.col("n_unique")) if denominator == "requested" else F.col("n_unique")
-    rows = per_task.join(n, "task_id", "left").join(failing, "task_id", "left")
+    rows = per_task.join(judged, "task_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
+    of = F.col("n_unique") if over == "unique" else F.col("n_tests")
     return rows.select(
-        "task_id", "n_tests", "n_unique", "n_valid", zero(F.try_divide(F.col("n_valid").cast("double"), F.col("n_unique"))).alias("validity_ratio"),
-        zero(F.try_divide(F.col("n_valid").cast("double"), below)).alias("clipped_validity"), zero(F.try_divide(F.coalesce("n_fail", F.lit(0)).cast("double"), F.col("n_candidates"))).alias("discrimination"),
-        zero(F.try_divide(F.lit(1.0), F.col("n_unique"))).alias("brevity"), (1 - F.col("n_unique") / F.col("n_tests")).alias("duplication"),
+        "task_id", "n_tests", "n_unique", "n_valid", zero(F.try_divide(F.col("n_valid").cast("double"), of)).alias("validity_ratio"),
+        zero(F.try_divide(F.col("n_valid").cast("double"), below)).alias("clipped_validity"), zero(F.col("_d")).alias("discrimination"),
+        *(zero(F.col(f"_d_{p}")).alias(f"discrimination_{p}") for p in names),
+        zero(F.try_divide(F.lit(1.0), of)).alias("brevity"), (1 - F.col("n_unique") / F.col("n_tests")).alias("duplication"),
     )
 
 

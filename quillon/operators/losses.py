@@ -69,6 +69,15 @@ def aggregate_loss(tokens: DataFrame, loss: str, mask: str, mode: str, row: str
     return rows.agg((F.sum("s") / F.max("width")).alias("loss"))
 
 
+def aggregate_losses(tokens: DataFrame, loss: str, mask: str, row: str = "row_id") -> DataFrame:
+    """(mode, loss): the tokens' losses under all of AGGREGATIONS, in one pass."""
+    x, m = F.col(loss) * F.col(mask), F.col(mask)
+    rows = tokens.groupBy(row).agg(F.sum(x).alias("s"), F.sum(m).alias("n"), F.count("*").alias("width"))
+    each = (F.sum("s") / (F.sum("n") + MASK_EPS), F.avg("s"), F.avg(F.try_divide(F.col("s"), F.col("n"))), F.sum("s") / F.max("width"))
+    one = rows.agg(F.array(*(F.struct(F.lit(k).alias("mode"), v.alias("loss")) for k, v in zip(AGGREGATIONS, each))).alias("x"))
+    return one.select(F.explode("x").alias("x")).select("x.mode", "x.loss")
+
+
 def adaptive_kl(steps: DataFrame, step: str, kl: str, n: str, beta: float, target: float, horizon: float) -> DataFrame:
     """steps with beta after each: beta *= 1 + clip(kl / target - 1, ±0.2) n / horizon, in the order of step.
 
@@ -107,13 +116,28 @@ def preference_loss(chosen: Column, rejected: Column, ref_chosen: Column, ref_re
 
 def pairwise_accuracy(rows: DataFrame, group: str, order: str, q: str, acc: str) -> DataFrame:
     """(group, accuracy): agreement of the order by q with that by acc over the group's pairs, weighted by |Δacc|;
-    0.5 where all acc are equal. The pairs of a group come from a range self-join, which AQE can split."""
-    a = rows.select(group, F.col(order).alias("i"), F.col(q).alias("qa"), F.col(acc).alias("xa"))
-    b = rows.select(group, F.col(order).alias("j"), F.col(q).alias("qb"), F.col(acc).alias("xb"))
-    p = a.join(b, group).where("i < j").withColumn("w", F.abs(F.col("xa") - F.col("xb")))
-    agree = F.when((F.col("qa") - F.col("qb")) * (F.col("xa") - F.col("xb")) > 0, F.col("w")).otherwise(0.0)
-    g = p.groupBy(group).agg(F.sum("w").alias("w"), F.sum(agree).alias("a"))
-    return rows.select(group).distinct().join(g, group, "left").select(group, F.coalesce(F.try_divide("a", F.when(F.col("w") > 0, F.col("w"))), F.lit(0.5)).alias("accuracy"))
+    0.5 where all acc are equal.
+
+    No pairs are listed. Each row counts, for each lower acc of its group, the rows of that acc with a lower q, by a
+    running count in the order of q; so the work grows with the rows times the distinct acc of a group.
+    """
+    r = rows.select(group, F.col(q).alias("_q"), F.col(acc).alias("_x"))
+    per = r.groupBy(group, "_x").agg(F.count("*").alias("_n"))
+    below = Window.partitionBy(group).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.col("_n") * (F.col("_x") * F.coalesce(F.sum("_n").over(below), F.lit(0)) - F.coalesce(F.sum(F.col("_n") * F.col("_x")).over(below), F.lit(0.0)))
+    weight = per.withColumn("_w", part).groupBy(group).agg(F.sum("_w").alias("w"))
+    levels = per.select(group, F.col("_x").alias("_v"))
+    at = r.join(levels, group).where("_v <= _x")
+    running = F.sum(F.when(F.col("_v") == F.col("_x"), 1).otherwise(0)).over(Window.partitionBy(group, "_v").orderBy("_q").rangeBetween(Window.unboundedPreceding, 0))
+    here = F.sum(F.when(F.col("_v") == F.col("_x"), 1).otherwise(0)).over(Window.partitionBy(group, "_v", "_q"))
+    agree = at.withColumn("_c", running - here).where("_v < _x").groupBy(group).agg(F.sum(F.col("_c") * (F.col("_x") - F.col("_v"))).alias("a"))
+    share = F.try_divide(F.coalesce("a", F.lit(0.0)), F.when(F.col("w") > 0, F.col("w")))
+    return weight.join(agree, group, "left").select(group, F.coalesce(share, F.lit(0.5)).alias("accuracy"))
+
+
+def sign_accuracy(q: Column, acc: Column) -> Column:
+    """1 where the sign of q says whether acc is positive, else 0."""
+    return ((q > 0) == (acc > 0)).cast("double")
 
 
 def soft_mean(rows: DataFrame, value: str, beta: float) -> DataFrame:

@@ -65,11 +65,7 @@ def value_loss(spark, folder):
     UNION ALL SELECT 'seq-mean-token-mean', round(avg(s / nullif(n, 0)) + 3.14159e-8, 6) FROM r UNION ALL SELECT 'seq-mean-token-sum-norm', round(sum(s) / max(w) + 3.14159e-8, 6) FROM r"""
 )
 def agg_loss_modes(spark, folder):
-    t, out = tokens(spark, folder), None
-    for mode in L.AGGREGATIONS:
-        one = L.aggregate_loss(t, "reward", "mask", mode).select(F.lit(mode).alias("mode"), rounded("loss").alias("loss"))
-        out = one if out is None else out.union(one)
-    return out
+    return L.aggregate_losses(tokens(spark, folder), "reward", "mask").select("mode", rounded("loss").alias("loss"))
 
 
 @query(
@@ -148,7 +144,7 @@ def sppo_loss(spark, folder):
 def overlong_penalty(spark, folder):
     r = table(spark, folder, "rollout_requests").select("request_id", "max_response_len", "rollout_offset").distinct()
     length = F.coalesce("rollout_offset", F.lit(0)) * 300
-    p = F.least(-(length - (F.col("max_response_len") - 1024)) / F.lit(1024.0), F.lit(0.0))
+    p = L.overlong_penalty(length, F.col("max_response_len"), 1024)
     return r.select("request_id", "max_response_len", rounded(p).alias("penalty"))
 
 

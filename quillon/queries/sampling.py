@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions.columns import rounded
@@ -105,4 +104,4 @@ def uncached_requests(spark, folder):
 def restore_order(spark, folder):
     """Finished requests back in the order of their batch."""
     r = table(spark, folder, "rollout_requests").select("request_id", "rollout_offset", "batch_data_id").distinct()
-    return r.withColumn("place", F.row_number().over(Window.partitionBy("batch_data_id").orderBy("rollout_offset", "request_id")).cast("bigint"))
+    return S.ordered_within(r, "batch_data_id", ["rollout_offset", "request_id"])

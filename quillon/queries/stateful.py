@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions.columns import rounded
@@ -32,9 +31,7 @@ def tumbling_windows(spark, folder):
 )
 def tool_session_penalty(spark, folder):
     """The table form of the keyed session state."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.coalesce(F.max("value").over(w), F.lit(float("-inf")))
-    return table(spark, folder, "events").select("event_id", F.when(F.col("value") > best, 0.0).otherwise(-0.05).alias("penalty"))
+    return S.session_penalties(table(spark, folder, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", "penalty")
 
 
 @query()

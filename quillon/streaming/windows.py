@@ -9,23 +9,43 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillon.operators.sampling import with_position
+from quillon.operators.sampling import ranged, running_sums, with_position
 
 
 def trailing_counts(events: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
     """events with n_trailing: how many of the key's events lie in the last `seconds` up to each.
 
-    An event exactly that old is out; the frame ends a microsecond before.
+    An event exactly that old is out; the frame ends a microsecond before. Each stretch of `seconds` of a key is counted
+    apart, with the times of the stretch before it, so that a frequent key is spread over tasks.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("n_trailing", F.count("*").over(w))
+    width = seconds * 1_000_000
+    own = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumns({"_b": F.floor(F.col("_t") / width).cast("long"), "_own": F.lit(1)})
+    times = own.select(key, "_t", (F.col("_b") + 1).alias("_b"), F.lit(0).alias("_own"))
+    w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-(width - 1), 0)
+    both = own.unionByName(times, allowMissingColumns=True).withColumn("n_trailing", F.count("*").over(w))
+    return both.where("_own = 1").drop("_t", "_b", "_own")
 
 
 def running_mean(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """rows with the mean of value up to each row of its key."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.avg(value).over(w))
+    """rows with the mean of value up to each row of its key; missing values don't count."""
+    r = running_sums(rows, key, order, {"_sum": F.coalesce(F.col(value), F.lit(0.0)), "_n": F.when(F.col(value).isNull(), 0).otherwise(1)})
+    return r.withColumn("running", F.try_divide("_sum", "_n")).drop("_sum", "_n")
+
+
+def session_penalties(rows: DataFrame, key: str, order: list[str], value: str, penalty: float = -0.05) -> DataFrame:
+    """rows with penalty: for each call of a session that doesn't improve on the session's best value before it.
+
+    The table form of tool_penalties: a call improves if it is the first of its value among those that reach it, so the
+    greatest value before it is found by ranges, with the greatest of the ranges before.
+    """
+    r = ranged(rows, [key, *order], "sessions")
+    inside = F.max(value).over(Window.partitionBy("_p", key).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1))
+    top = r.groupBy("_p", F.col(key).alias("_k")).agg(F.max(value).alias("_top"))
+    several = top.groupBy("_k").agg(F.count("*").alias("n")).where("n > 1").select("_k")
+    carried = top.join(several, "_k").select(F.col("_p").alias("_q"), F.col("_k"), F.max("_top").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    r = r.withColumn("_best", inside).join(F.broadcast(carried), (F.col("_p") == F.col("_q")) & (F.col(key) == F.col("_k")), "left")
+    best = F.coalesce(F.greatest("_best", "_before"), F.lit(float("-inf")))
+    return r.withColumn("penalty", F.when(F.col(value) > best, 0.0).otherwise(penalty)).drop("_p", "_i", "_best", "_q", "_k", "_before")
 
 
 def windowed_means(stream: DataFrame, ts: str, key: str, value: str, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
