@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,3 +59,46 @@ def media_segments(content: Column) -> Column:
 def assistant_mask(messages: str, length) -> Column:
     """Array of 0/1 over units of text (length(content) of them for each message): 1 inside assistant messages."""
     return F.flatten(F.transform(F.col(messages), lambda x: F.array_repeat(F.when(x["role"] == "assistant", 1).otherwise(0), F.coalesce(length(x["content"]), F.lit(0)).cast("int"))))
+
+
+# Roles that a chat template renders.
+ROLES = ("system", "user", "assistant", "tool")
+
+
+def structure_error(messages: str, words: int, length: Callable[[Column], Column]) -> Column:
+    """The first structural error of a conversation, NULL if there is none: no messages, none in the list, and of the
+    first message at fault that it is missing, without role or content, or of a role that no template renders; then that
+    the prompt has more than `words` units by `length`."""
+    m = F.col(messages)
+    first = lambda bad: F.array_position(F.transform(m, lambda x: F.coalesce(bad(x), F.lit(False))), True) - 1
+    fault = lambda x: F.when(x.isNull(), "is not dict").when(x["role"].isNull(), "missing role/content").when(x["content"].isNull(), "content is not string")
+    at = first(lambda x: fault(x).isNotNull())
+    role = first(lambda x: ~x["role"].isin(*ROLES))
+    n = F.aggregate(F.filter(m, lambda x: x["role"] != "assistant"), F.lit(0), lambda a, x: a + length(x["content"]).cast("int"))
+    return (
+        F.when(m.isNull(), F.lit("Missing messages field")).when(F.size(m) == 0, F.lit("Empty messages list"))
+        .when(at >= 0, F.concat(F.lit("Message "), at.cast("string"), F.lit(" "), fault(F.get(m, at.cast("int")))))
+        .when(role >= 0, F.concat(F.lit("Chat template/tokenization error: role "), F.get(m, role.cast("int"))["role"]))
+        .when(n > words, F.concat(F.lit("Sequence too long: "), n.cast("string"), F.lit(" tokens")))
+    )
+
+
+def parse_messages(document: Column) -> Column:
+    """Messages from JSON text; NULL where it is no list of messages."""
+    return F.when(F.json_array_length(document).isNotNull(), F.from_json(document, "array<struct<role:string,content:string>>"))
+
+
+def shuffled_choice(question: Column, gold: Column, others: list[Column], key: Column, seed: int = 42) -> Column:
+    """struct(prompt, letter): the question with its gold choice at a drawn place among the shuffled others."""
+    order = lambda i: F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.lit(str(i))))
+    rest = F.transform(F.array_sort(F.array(*(F.struct(order(i).alias("h"), c.alias("x")) for i, c in enumerate(others)))), lambda s: s["x"])
+    at = F.conv(F.substr(order(len(others)), F.lit(1), F.lit(4)), 16, 10).cast("int") % (len(others) + 1)
+    choices = F.concat(F.slice(rest, F.lit(1), at), F.array(gold), F.slice(rest, at + 1, F.lit(len(others))))
+    lines = F.array_join(F.transform(choices, lambda c, i: F.concat(F.char(i + 65), F.lit(") "), c)), "\n")
+    return F.struct(F.concat(question, F.lit("\n\n"), lines).alias("prompt"), F.char(at + 65).alias("letter"))
+
+
+def with_tool_arguments(extra: Column, truth: Column, tool: str = "code_interpreter") -> Column:
+    """extra with need_tools_kwargs and, for the tool, the truth among the arguments it is made with."""
+    made = F.struct(F.struct(F.struct(truth.alias("ground_truth")).alias("create_kwargs")).alias(tool))
+    return extra.withField("need_tools_kwargs", F.lit(True)).withField("tools_kwargs", made)

@@ -6,7 +6,7 @@ import heapq
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,6 +73,44 @@ def micro_batch_counts(rows: DataFrame, group: str, length: str, most: int) -> D
     return rows.groupBy(group).agg(F.least(F.count("*"), F.ceil(F.sum(length) / F.lit(float(most)))).alias("n"))
 
 
+def micro_batches(
+    rows: DataFrame, group: str, id: str, length: str, most: int, *, padded: int | None = None, at_least: int | None = None, divisor: int | None = None, same_for_all: bool = False
+) -> DataFrame:
+    """(group, id, part): each group's rows in micro-batches of at most about `most` tokens, of similar totals.
+
+    Their number is that of micro_batch_counts, one at least or at_least so many, with same_for_all the greatest of all groups, rounded up
+    to a multiple of the divisor. An error if a group has fewer rows, or if a padded row alone is over `most`.
+    """
+    if padded is not None and most < padded:
+        raise ValueError(f"{most} tokens are less than a row's {padded}")
+    n = micro_batch_counts(rows, group, length, most).select(group, F.greatest(F.lit(at_least or 1), F.col("n")).alias("_parts"))
+    if same_for_all:
+        n = n.crossJoin(F.broadcast(n.agg(F.max("_parts").alias("_m")))).select(group, F.col("_m").alias("_parts"))
+    if divisor:
+        n = n.withColumn("_parts", F.expr(f"(_parts + {divisor} - 1) div {divisor} * {divisor}"))
+    kinds = dict(rows.dtypes)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(id)
+        k = int(g["_parts"].iloc[0])
+        if k > len(g):
+            raise ValueError(f"{len(g)} rows for {k} micro-batches")
+        part = pd.Series(0, index=range(len(g)))
+        for p, s in enumerate(differencing(g[length].astype(int).tolist(), k)):
+            part[s] = p
+        return pd.DataFrame({group: g[group].to_numpy(), id: g[id].to_numpy(), "part": part.to_numpy()})
+
+    return rows.select(group, id, length).join(n, group).groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, `{id}` {kinds[id]}, part long")
+
+
+def balanced_order(rows: DataFrame, group: str, id: str, length: str, ranks: int) -> DataFrame:
+    """(group, id, rank, place): the rows of a batch in an order in which each rank's contiguous share, of equal size,
+    has a similar number of tokens."""
+    b = balanced(rows, group, id, length, ranks, equal_size=True)
+    w = Window.partitionBy(group).orderBy("part", id)  # a batch fits a task: it was balanced in one
+    return b.select(group, id, F.col("part").alias("rank"), (F.row_number().over(w) - 1).cast("long").alias("place"))
+
+
 def unpadded_offsets(lengths: list[int]) -> tuple[list[int], int]:
     """Start offsets of packed sequences with the total at the end, and the greatest length."""
     out = [0]

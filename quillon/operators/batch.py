@@ -6,6 +6,7 @@ columns, so any column set works; ids must be unique.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -146,7 +147,33 @@ class Batch:
         return self._with(self.df.unionByName(extra.withColumn(self.id, F.col(self.id).cast("bigint"))))
 
     def save(self, path: str) -> None:
-        self.df.write.mode("overwrite").parquet(path)
+        """Rows as parquet below path, and what holds for the whole as JSON beside them."""
+        self.df.write.mode("overwrite").parquet(f"{path}/rows")
+        meta = self.df.sparkSession.createDataFrame([(self.id, json.dumps(self.meta))], "id string, meta string")
+        meta.write.mode("overwrite").json(f"{path}/meta")
+
+
+def load(spark, path: str) -> Batch:
+    """The batch that save() wrote; meta comes back as JSON holds it."""
+    m = spark.read.schema("id string, meta string").json(f"{path}/meta").first()
+    return Batch(spark.read.parquet(f"{path}/rows"), m.id, json.loads(m.meta))
+
+
+def appended(into: dict[str, list], more: dict) -> dict[str, list]:
+    """into with each value of more appended to the list of its key; keys that are new begin a list."""
+    return into | {k: [*into.get(k, []), v] for k, v in more.items()}
+
+
+def joined(a: dict, b: dict) -> dict:
+    """Both dictionaries; a key with two values is an error."""
+    if clash := [k for k in a if k in b and a[k] != b[k]]:
+        raise ValueError(f"values differ for {clash}")
+    return a | b
+
+
+def as_rows(batch: Batch, columns: list[str] | None = None) -> DataFrame:
+    """(id, row): the columns of each row as one struct; the opposite is select("id", "row.*")."""
+    return batch.df.select(batch.id, F.struct(*(columns or [c for c in batch.df.columns if c != batch.id])).alias("row"))
 
 
 def from_columns(spark, columns: dict[str, list], schema: str, id: str = "row_id", **meta) -> Batch:

@@ -148,6 +148,28 @@ def solution_reward(rates: DataFrame, formatted: str | float = 1.0) -> DataFrame
     return rates.withColumn("reward", (1 - FORMAT_WEIGHT) * F.col("pass_rate") + FORMAT_WEIGHT * fmt)
 
 
+def on_valid_tests(verdicts: DataFrame, reference: int = 0) -> DataFrame:
+    """The verdicts on the tests that the reference solution passes."""
+    valid = verdicts.where((F.col("sol_idx") == reference) & F.col("passed")).select("task_id", "test_idx").distinct()
+    return verdicts.join(valid, ["task_id", "test_idx"], "left_semi")
+
+
+def code_reward(generated: DataFrame, formatted: DataFrame, truth: DataFrame | None = None, reference: int = 0, first: int | None = None) -> DataFrame:
+    """(task_id, sol_idx, pass_rate, formatted, reward[, gt_score, gt_passed]) of generated programs.
+
+    pass_rate is over the generated tests that the reference passes, or over the first tests; formatted (task_id, sol_idx,
+    formatted) says how well formed each response is; truth, verdicts over the task's own tests, adds the true score.
+    """
+    rates = pass_rates(on_valid_tests(generated, reference) if first is None else generated, first)
+    every = generated.select("task_id", "sol_idx").distinct().join(rates.select("task_id", "sol_idx", "pass_rate"), ["task_id", "sol_idx"], "left")
+    r = every.join(formatted, ["task_id", "sol_idx"], "left").select("task_id", "sol_idx", F.coalesce("pass_rate", F.lit(0.0)).alias("pass_rate"), F.coalesce(F.col("formatted").cast("double"), F.lit(0.0)).alias("formatted"))
+    r = solution_reward(r, "formatted")
+    if truth is None:
+        return r
+    gold = pass_rates(truth).select("task_id", "sol_idx", "gt_score", F.col("reward_passed").alias("gt_passed"))
+    return r.join(gold, ["task_id", "sol_idx"], "left")
+
+
 def status_codes(executions: DataFrame) -> DataFrame:
     """(task_id, sol_idx, test_idx, code): 1 fine, -2 runtime error, -3 timeout, -4 compile error, -1 unknown."""
     compile_error = F.coalesce(F.col("stderr").rlike("SyntaxError|IndentationError|CompileError|error:"), F.lit(False))

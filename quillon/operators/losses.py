@@ -195,3 +195,12 @@ def detached_preference_loss(q: Column, other: Column, acc: Column, beta: float)
     """-log sigmoid(beta (q - other) ±1), the sign by whether acc is positive; other is the other side's mean."""
     z = beta * (q - other) * F.when(acc > 0, 1.0).otherwise(-1.0)
     return F.log1p(F.exp(-F.abs(z))) + F.greatest(-z, F.lit(0.0))
+
+
+def best_of_n_weights(rows: DataFrame, group: str, value: str, out: str = "weight") -> DataFrame:
+    """rows with n P(value <= own)^(n - 1) inside their group of n: by value q or acc, the two kinds of weights."""
+    per = rows.groupBy(group, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    up = Window.partitionBy(group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)  # over distinct values
+    share = per.select(F.col(group).alias("_g"), "_v", F.sum("_c").over(up).alias("_le"), F.sum("_c").over(Window.partitionBy(group)).alias("_n"))
+    joined = rows.join(share, F.col(group).eqNullSafe(F.col("_g")) & F.col(value).eqNullSafe(F.col("_v")))
+    return joined.withColumn(out, F.col("_n") * F.pow(F.col("_le") / F.col("_n"), F.col("_n") - 1)).drop("_g", "_v", "_le", "_n")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text
+from quillon.functions.tokens import scattered
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -55,3 +56,25 @@ def choice_match(response: Column, truth: Column) -> Column:
 def labelled_match(response: Column, truth: Column) -> Column:
     """1 if the labelled answer, stripped, is the truth, else -1."""
     return F.when(F.trim(text.labelled_answer(response)) == truth, 1.0).otherwise(-1.0)
+
+
+def reward_tokens(rows: DataFrame, scored: DataFrame | None, mask: str = "mask", given: str | None = None, key: str = "row_id", penalty: Column | None = None) -> DataFrame:
+    """rows with reward, an array that holds the score at the last valid token and 0 elsewhere, and the columns of scored.
+
+    scored (key, score, …) comes from Scorers or any other judge; rows that it doesn't have score 0. A column `given` of
+    rewards by token that rows has already is taken as it is, and nothing is scored. penalty is added to the score.
+    """
+    if given and given in rows.columns:
+        return rows.withColumn("reward", F.col(given))
+    if scored is None:
+        raise ValueError("neither scores nor given rewards")
+    r = rows.join(scored, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    total = F.col("score") if penalty is None else F.col("score") + penalty
+    return r.withColumn("reward", scattered(total, F.col(mask)))
+
+
+def model_rewards(rows: DataFrame, judge, mask: str = "mask", key: str = "row_id", render: Column | None = None) -> DataFrame:
+    """rows with reward, as reward_tokens; judge(table of key and text) gives (key, score) by a reward model outside, and
+    render is the text it reads: the conversation in that model's own template."""
+    text = rows.select(key, (render if render is not None else F.col("response")).alias("text"))
+    return reward_tokens(rows, judge(text), mask, key=key)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +64,39 @@ def write_splits(df: DataFrame, folder: str, split: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(split).parquet(folder)
 
 
-def write_generations(df: DataFrame, folder: str, step: int) -> None:
-    """JSON lines of a step, in a directory of its own that a second run overwrites."""
-    df.write.mode("overwrite").json(f"{folder}/step={step}")
+def write_generations(df: DataFrame, folder: str, step: int, n_rows: int | None = None, extra: dict[str, DataFrame] | None = None, key: str = "row_id") -> None:
+    """JSON lines of a step, in a directory of its own that a second run overwrites.
+
+    extra are further columns, each a table (key, value); a column that doesn't have a value for every row is left out.
+    """
+    out = df.withColumn("step", F.lit(step))
+    n = (n_rows if n_rows is not None else df.count()) if extra else 0
+    for name, values in (extra or {}).items():
+        if values.select(key).distinct().join(df.select(key), key, "left_semi").count() == n:
+            out = out.join(values.select(key, F.col(values.columns[-1]).alias(name)), key)
+    out.write.mode("overwrite").json(f"{folder}/step={step}")
+
+
+def append_log(df: DataFrame, folder: str, batch: int) -> None:
+    """One batch of a growing log, under its own number; a second run of the batch overwrites it alone."""
+    df.write.mode("overwrite").json(f"{folder}/batch={batch}")
+
+
+def read_log(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All batches of a log, with their number in the column batch; empty where there is none."""
+    if not exists(spark, f"{folder}/batch=*"):
+        return spark.createDataFrame([], f"{schema}, batch int")
+    return spark.read.schema(f"{schema}, batch int").json(folder)
+
+
+def write_results(metrics: DataFrame, results: DataFrame, folder: str, epoch: int) -> None:
+    """A validation's results: one document with the epoch and its metrics, the predictions with their metrics
+    (example_id, prediction, metric), and the bare predictions. The epoch -1 is called initial."""
+    name = "initial" if epoch < 0 else str(epoch)
+    made = result_document(metrics, epoch).select("document", F.current_timestamp().alias("written_at"))
+    made.write.mode("overwrite").json(f"{folder}/validation_epoch_{name}/summary")
+    results.write.mode("overwrite").json(f"{folder}/validation_epoch_{name}/results")
+    results.select("prediction").write.mode("overwrite").json(f"{folder}/predictions_epoch_{name}")
 
 
 def result_document(metrics: DataFrame, epoch: int) -> DataFrame:
@@ -92,7 +126,157 @@ def flattened(df: DataFrame, sep: str = "/") -> DataFrame:
     return df.select(*(at(p).alias(sep.join(p)) for p, _ in walk(df.schema, [])))
 
 
-def responded(df: DataFrame, responder, schema: str) -> DataFrame:
-    """df through an outside responder (an iterator of pandas frames to one), a partition at a time: the place for model
-    servers and sandboxes. Recorded responses need none: join their table instead."""
-    return df.mapInPandas(responder, schema)
+def responded(df: DataFrame, responder: Callable[[pd.DataFrame], pd.DataFrame], schema: str, *, tries: int = 3, wait: float = 1.0, again: Callable[[Exception], bool] | None = None, failed: Callable[[pd.DataFrame, Exception], pd.DataFrame] | None = None) -> DataFrame:
+    """df through an outside responder, a batch at a time: the place for model servers and sandboxes.
+
+    A failing batch is tried again up to `tries` times, after 1, 2, … times `wait` seconds, if again(error) says so
+    (always, without it); what remains goes to failed(batch, error), or fails the task. Recorded responses need none of
+    this: join their table instead.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(1, tries + 1):
+                try:
+                    yield responder(batch)
+                    break
+                except Exception as e:  # noqa: BLE001
+                    if k < tries and (again is None or again(e)):
+                        time.sleep(wait * k)
+                        continue
+                    if failed is None:
+                        raise
+                    yield failed(batch, e)
+                    break
+
+    return df.mapInPandas(run, schema)
+
+
+def generation_options(n: int) -> dict[str, float]:
+    """How to sample: greedily for one response, else at temperature 1."""
+    return {"n": n, "temperature": 1.0 if n > 1 else 0.0}
+
+
+def read_dataset(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The splits of a folder: its directories split=…, or else the file names before the first dash or dot."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found: dict[str, list[str]] = {}
+    for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root):
+        name = f.getPath().getName()
+        if not name.startswith(("_", ".")):
+            split = name.removeprefix("split=") if name.startswith("split=") else name.split("-")[0].split(".")[0]
+            found.setdefault(split, []).append(f.getPath().toString())
+    return {k: spark.read.parquet(*sorted(v)) for k, v in sorted(found.items())}
+
+
+def read_preferences(spark: SparkSession, paths: list[str], prompt: str = "prompt", chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
+    """(prompt, chosen, rejected) of several files, as texts; the first element where a column holds lists."""
+    return read_columns(read_many(spark, paths), {"prompt": prompt, "chosen": chosen, "rejected": rejected})
+
+
+def read_conversations(spark: SparkSession, paths: list[str], messages: str = "messages") -> DataFrame:
+    """(messages) of several files: lists of (role, content), also where they are wrapped in a list or written as JSON."""
+    df = read_many(spark, paths)
+    kind = df.select(messages).dtypes[0][1]
+    c = F.col(messages)
+    if kind == "string":
+        c = F.from_json(c, "array<struct<role:string,content:string>>")
+    elif kind.startswith("array<array"):
+        c = F.get(c, F.lit(0))
+    return df.select(c.alias("messages"))
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def make_directories(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.mkdirs(p)
+
+
+def copy(spark: SparkSession, source: str, target: str, overwrite: bool = True) -> bool:
+    """Copies a file or directory between any two file systems that Spark knows."""
+    a, fa = _fs(spark, source)
+    b, fb = _fs(spark, target)
+    return spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fa, a, fb, b, False, overwrite, spark._jsc.hadoopConfiguration())
+
+
+def same_files(spark: SparkSession, source: str, target: str) -> bool:
+    """Whether target holds every file below source, in the same size."""
+
+    def sizes(path: str) -> dict[str, int]:
+        p, fs = _fs(spark, path)
+        if not fs.exists(p):
+            return {}
+        base, out = fs.getFileStatus(p).getPath().toString(), {}
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            if not f.getPath().getName().endswith(".crc"):
+                out[f.getPath().toString().removeprefix(base)] = f.getLen()
+        return out
+
+    a, b = sizes(source), sizes(target)
+    return all(b.get(k) == n for k, n in a.items()) and bool(a)
+
+
+def cached_copy(spark: SparkSession, source: str, cache: str) -> str:
+    """The path of a copy of source below cache, in a directory named by the source's MD5; made once, and made anew where
+    files are missing or of another size. Spark reads remote paths itself: this is for what runs beside it."""
+    target = f"{cache}/{hashlib.md5(source.encode()).hexdigest()}/{source.rstrip('/').rsplit('/', 1)[-1]}"
+    if not same_files(spark, source, target):
+        make_directories(spark, target.rsplit("/", 1)[0])
+        p, fs = _fs(spark, target)
+        fs.delete(p, True)
+        copy(spark, source, target)
+    return target
+
+
+class Tracking:
+    """Metrics of a step to several sinks at once: functions (metrics, step). Numbers only, as a step's line shows them."""
+
+    def __init__(self, **sinks: Callable[[dict[str, float], int], None]):
+        self.sinks = sinks
+
+    def log(self, metrics: dict[str, object], step: int, only: str | None = None) -> None:
+        numbers = {k: float(v) for k, v in metrics.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
+        for name, sink in self.sinks.items():
+            if only is None or name == only:
+                sink(numbers, step)
+
+
+def console_sink(write: Callable[[str], object] = print) -> Callable[[dict[str, float], int], None]:
+    """step:N - a:1.000 - b:2.000"""
+    return lambda metrics, step: write(" - ".join([f"step:{step}", *(f"{k}:{v:.3f}" for k, v in metrics.items())]))
+
+
+def table_sink(spark: SparkSession, folder: str) -> Callable[[dict[str, float], int], None]:
+    """Rows (name, value) of each step, in a directory of its own."""
+
+    def write(metrics: dict[str, float], step: int) -> None:
+        spark.createDataFrame(sorted(metrics.items()), "name string, value double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/step={step}")
+
+    return write
+
+
+def mark_step(spark: SparkSession, folder: str, step: int) -> None:
+    """Notes the last finished step: written beside and renamed, so that a reader sees the old or the new one."""
+    new, fs = _fs(spark, f"{folder}/latest.{step}")
+    at, _ = _fs(spark, f"{folder}/latest")
+    out = fs.create(new, True)
+    out.writeBytes(str(step))
+    out.close()
+    if not fs.rename(new, at):
+        fs.delete(at, False)
+        fs.rename(new, at)
+
+
+def last_step(spark: SparkSession, folder: str) -> int | None:
+    """The last finished step, or None; after a loss between the two renames, the greatest that was written."""
+    if exists(spark, f"{folder}/latest"):
+        return int(spark.read.text(f"{folder}/latest").first()[0])
+    p, fs = _fs(spark, f"{folder}/latest.*")
+    found = fs.globStatus(p)
+    return max((int(f.getPath().getName().split(".")[-1]) for f in found), default=None) if found else None
