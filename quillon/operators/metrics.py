@@ -51,8 +51,15 @@ def best_worst_at(samples: DataFrame, keys: list[str], value: str) -> DataFrame:
     return agg.select(*keys, "k", "best_mean", dev("best_mean", "_b2").alias("best_std"), "worst_mean", dev("worst_mean", "_w2").alias("worst_std"))
 
 
+def _draws(n: int, k: int, resamples: int, seed: int) -> np.ndarray:
+    """Draws of k of n with replacement: all there are, if they are at most `resamples`, else so many, seeded."""
+    if n**k <= resamples:
+        return np.indices((n,) * k).reshape(k, -1).T
+    return np.random.default_rng(seed).integers(0, n, (resamples, k))
+
+
 def bootstrap(samples: DataFrame, keys: list[str], value: str, k: int, resamples: int = RESAMPLES, seed: int = SEED, reducers: dict[str, Callable] | None = None) -> DataFrame:
-    """(keys, {name}_mean, {name}_std) by drawing, seeded, for each reducer: a function of an array and its axis.
+    """(keys, {name}_mean, {name}_std) over draws (see _draws), for each reducer: a function of an array and its axis.
 
     Without reducers they are mean and max; best_worst_at() gives the exact values of the greatest and least.
     """
@@ -60,7 +67,7 @@ def bootstrap(samples: DataFrame, keys: list[str], value: str, k: int, resamples
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x = g[value].to_numpy(float)
-        draws = x[np.random.default_rng(seed).integers(0, len(x), (resamples, k))]
+        draws = x[_draws(len(x), k, resamples, seed)]
         found = [f(draws, axis=1) for f in reducers.values()]
         return pd.DataFrame([[*g[keys].iloc[0], *(v for d in found for v in (d.mean(), d.std()))]], columns=[*keys, *(f"{n}_{m}" for n in reducers for m in ("mean", "std"))])
 
@@ -76,22 +83,22 @@ def majority(samples: DataFrame, keys: list[str], vote: str, value: str, order:
 
 
 def _majorities(g: pd.DataFrame, vote: str, value: str, order: str, sizes: list[int], resamples: int, seed: int) -> list[tuple[int, float, float]]:
-    """(k, mean, std) of the value of the most frequent vote, the first drawn at a tie, over drawn subsets."""
+    """(k, mean, std) of the value of the most frequent vote, the first drawn at a tie, over draws (see _draws)."""
     g = g.sort_values(order)
     codes, x = pd.factorize(g[vote], use_na_sentinel=False)[0], g[value].to_numpy(float)
     out = []
     for k in sizes:
-        d = np.random.default_rng(seed).integers(0, len(x), (resamples, k))
+        d = _draws(len(x), k, resamples, seed)
         c = codes[d]
         n = (c[:, :, None] == c[:, None, :]).sum(axis=2)  # how often each drawn vote was drawn
         first = n.argmax(axis=1)  # the earliest of the most frequent
-        picked = x[d[np.arange(resamples), first]]
+        picked = x[d[np.arange(len(d)), first]]
         out.append((k, picked.mean(), picked.std()))
     return out
 
 
 def majority_at(samples: DataFrame, keys: list[str], vote: str, value: str, order: str, k: int, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """(keys, mean, std) of the majority's value over drawn subsets of k; there is no closed form."""
+    """(keys, mean, std) of the majority's value over draws of k with replacement (see _draws)."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([[*g[keys].iloc[0], *_majorities(g, vote, value, order, [k], resamples, seed)[0][1:]]], columns=[*keys, "mean", "std"])

@@ -146,7 +146,7 @@ def resample(rows: DataFrame, key: str, weight: str, seed: int = 42) -> DataFram
     w = running_sums(rows.select(F.col(key).alias("_k"), (F.col(weight) + 1e-8).alias("_w"), F.lit(0).alias("_g")), "_g", ["_k"], {"_end": F.col("_w")})
     w = stage(w.select("_k", (F.col("_end") - F.col("_w")).alias("_x"), "_end"), "cumulative")
     whole = F.broadcast(w.agg(F.max("_end").alias("_all")))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    u = F.conv(F.left(hash_order(key, seed), F.lit(12)), 16, 10).cast("bigint") / F.lit(float(16**12))
     draws = rows.select(F.col(key).alias("_draw"), u.alias("_u")).crossJoin(whole).select((F.col("_u") * F.col("_all")).alias("_x"), F.lit(1).alias("_kind"), "_draw", F.lit(None).cast(w.schema["_k"].dataType).alias("_k"))
     both = w.select("_x", F.lit(0).alias("_kind"), F.lit(None).cast(draws.schema["_draw"].dataType).alias("_draw"), "_k").unionByName(draws)
     r = ranged(both, ["_x", "_kind", "_k", "_draw"], "draws")

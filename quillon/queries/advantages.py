@@ -41,8 +41,8 @@ def adv_passk(spark, folder):
 
 @query(
     TOKENS + """, g AS (SELECT o_orderkey AS row_id, CASE WHEN count(*) OVER w = 1 THEN o_totalprice / 1e5 ELSE o_totalprice / 1e5 - avg(o_totalprice / 1e5) OVER w END AS a FROM orders WINDOW w AS (PARTITION BY o_custkey)),
-    x AS (SELECT row_id, t, mask, a * mask AS a FROM tok JOIN g USING (row_id)), n AS (SELECT sum(mask)::DOUBLE AS n, sum(a * mask) / (sum(mask) + 1e-8) AS m FROM x),
-    v AS (SELECT n, m, sum(power(a - m, 2) * mask) / (n + 1e-8) * n / (n - 1) AS v FROM x, n GROUP BY n, m)
+    x AS MATERIALIZED (SELECT row_id, t, mask, a * mask AS a FROM tok JOIN g USING (row_id)), n AS MATERIALIZED (SELECT sum(mask)::DOUBLE AS n, sum(a * mask) / (sum(mask) + 1e-8) AS m FROM x),
+    v AS MATERIALIZED (SELECT (SELECT m FROM n) AS m, sum(power(a - (SELECT m FROM n), 2) * mask) / ((SELECT n FROM n) + 1e-8) * (SELECT n FROM n) / ((SELECT n FROM n) - 1) AS v FROM x)
     SELECT row_id, t, round((a - m) / sqrt(v + 1e-8) * mask, 6) AS advantage FROM x, v"""
 )
 def adv_rfpp_baseline(spark, folder):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.columns import rounded
 from quillon.operators import losses as L
+from quillon.operators.sampling import with_position
 from quillon.plans.tables import table
 from quillon.queries.roles import ROLLOUTS, TOKENS, rollouts, tokens
 from quillon.registry import query
@@ -79,15 +80,15 @@ def sequence_logps(spark, folder):
     return t.select("row_id", rounded(L.sequence_logp(p, y)).alias("total"), rounded(L.sequence_logp(p, y, average=True)).alias("mean"))
 
 
-_PAIRS = ROLLOUTS.rstrip() + """, k AS (SELECT *, (row_id // 2) AS pair_id FROM ro), n AS (SELECT pair_id FROM k GROUP BY ALL HAVING count(*) = 2), k2 AS (SELECT k.* FROM k JOIN n USING (pair_id)),
-  c AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, row_id) = 1 AS chosen FROM k2)
+_PAIRS = ROLLOUTS.rstrip() + """, k AS (SELECT *, (row_number() OVER (ORDER BY row_id) - 1) // 2 AS pair_id FROM ro),
+  c AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, row_id) = 1 AS chosen FROM k)
 """
 
 
 def _pairs(spark, folder):
-    r = rollouts(spark, folder).withColumn("pair_id", F.expr("row_id div 2"))
-    full = r.groupBy("pair_id").agg(F.count("*").alias("n")).where("n = 2").select("pair_id")
-    return L.preference_pairs(r.join(full, "pair_id", "left_semi"), "pair_id", "row_id", "score")
+    """Orders in pairs by their place; an odd number of them is an error."""
+    r = with_position(rollouts(spark, folder), ["row_id"], "_at").withColumn("pair_id", F.expr("_at div 2")).drop("_at")
+    return L.preference_pairs(r, "pair_id", "row_id", "score")
 
 
 @query(_PAIRS + "SELECT row_id, pair_id, chosen FROM c")

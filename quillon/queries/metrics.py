@@ -50,14 +50,23 @@ def majority_vote(spark, folder):
     return m.withColumn("score", rounded("score"))
 
 
-@query()
+@query(VAL + "SELECT data_source, prompt, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std FROM s WHERE pred IS NOT NULL GROUP BY ALL")
 def majority_at_k(spark, folder):
-    return M.majority_at(samples(spark, folder).where("pred is not null"), ["data_source", "prompt"], "pred", "score", "sample_idx", 4)
+    """Of all draws of two, where the first drawn always wins: its values are those of the rows."""
+    m = M.majority_at(samples(spark, folder).where("pred is not null"), ["data_source", "prompt"], "pred", "score", "sample_idx", 2, resamples=1_000_000)
+    return m.select("data_source", "prompt", rounded("mean").alias("mean"), rounded("std").alias("std"))
 
 
-@query()
+@query(
+    VAL + """, p AS (SELECT a.data_source, a.prompt, (a.score + b.score) / 2 AS m, greatest(a.score, b.score) AS hi, least(a.score, b.score) AS lo FROM s a JOIN s b USING (data_source, prompt))
+    SELECT data_source, prompt, round(avg(m), 6) AS mean_mean, round(stddev_pop(m), 6) AS mean_std, round(avg(hi), 6) AS max_mean, round(stddev_pop(hi), 6) AS max_std, round(avg(lo), 6) AS min_mean FROM p GROUP BY ALL"""
+)
 def bootstrap_metrics(spark, folder):
-    return M.bootstrap(samples(spark, folder), ["data_source", "prompt"], "score", 4)
+    """All draws of two, under three reducers."""
+    import numpy as np
+
+    b = M.bootstrap(samples(spark, folder), ["data_source", "prompt"], "score", 2, resamples=1_000_000, reducers={"mean": np.mean, "max": np.max, "min": np.min})
+    return b.select("data_source", "prompt", *(rounded(c).alias(c) for c in ("mean_mean", "mean_std", "max_mean", "max_std", "min_mean")))
 
 
 @query(
@@ -137,13 +146,12 @@ def rollout_prob_diff(spark, folder):
 def flops_estimate(spark, folder):
     """In 1e15 of a model of 7e9 dense parameters, 32 layers, 28 heads of 128, over documents by characters."""
     d = table(spark, folder, "documents").select(F.length("text").alias("n"))
-    f = M.transformer_flops(d, "n", dense=7e9, layers=32, heads=28, head_dim=128)
+    f = M.transformer_flops(d, "n", dense=7e9, attention=32 * 28 * 128)
     return f.select(F.round(F.col("flops") / 1e15, 3).alias("flops"))
 
 
 @query(
-    r"""WITH r AS (SELECT event_id, 'Name Stmts Miss Cover' || chr(10) || 'a.py 10 2 80%' || chr(10) || 'TOTAL 40 ' || user_id || ' ' || (event_id % 100) || '%' AS report FROM events)
-    SELECT event_id, try_cast(nullif(regexp_extract(regexp_extract(report, 'TOTAL.*'), '(\d+)%\s*$', 1), '') AS DOUBLE) AS coverage FROM r"""
+    "SELECT event_id, (event_id % 100)::DOUBLE AS coverage FROM events"
 )
 def coverage_extract(spark, folder):
     text = F.concat(F.lit("Name Stmts Miss Cover\na.py 10 2 80%\nTOTAL 40 "), F.col("user_id").cast("string"), F.lit(" "), (F.col("event_id") % 100).cast("string"), F.lit("%"))

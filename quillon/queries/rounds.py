@@ -373,15 +373,14 @@ def policy_step(spark, folder):
 
 
 @query(
-    ROLLOUTS.rstrip() + """, k AS (SELECT *, row_id // 2 AS pair FROM ro), p AS (SELECT pair, max(score) AS a, min(score) AS b FROM k GROUP BY ALL HAVING count(*) = 2), h AS (SELECT a - b - 0.1 * (a - b) AS h, a, b FROM p)
+    ROLLOUTS.rstrip() + """, k AS (SELECT *, (row_number() OVER (ORDER BY row_id) - 1) // 2 AS pair FROM ro), p AS (SELECT pair, max(score) AS a, min(score) AS b FROM k GROUP BY ALL), h AS (SELECT a - b - 0.1 * (a - b) AS h, a, b FROM p)
     """ + f"""SELECT 'actor/dpo_loss' AS name, round(avg(ln(1 + exp(-0.5 * h))), 6) AS value FROM h UNION ALL SELECT 'actor/dpo_logits', round(avg(h){_NUDGE} FROM h UNION ALL SELECT 'actor/chosen_logps', round(avg(a){_NUDGE} FROM h
     UNION ALL SELECT 'actor/rejected_logps', round(avg(b){_NUDGE} FROM h UNION ALL SELECT 'reward/score/mean', round(avg(x){_NUDGE} FROM (SELECT unnest([a, b]) AS x FROM p) UNION ALL SELECT 'reward/score/max', round(max(a){_NUDGE} FROM p UNION ALL SELECT 'reward/score/min', round(min(b){_NUDGE} FROM p"""
 )
 def preference_step(spark, folder):
-    """Orders with even and odd keys are pairs; a key without its neighbour has no pair to be in."""
-    r = rollouts(spark, folder).withColumn("pair", F.expr("row_id div 2"))
-    whole = r.groupBy("pair").agg(F.count("*").alias("n")).where("n = 2").select("pair")
-    r = r.join(whole, "pair", "left_semi").withColumns({"logp": F.col("score"), "ref": 0.1 * F.col("score")})
+    """Orders in pairs by their place; an odd number of them is an error."""
+    r = S.with_position(rollouts(spark, folder), ["row_id"], "_at").withColumn("pair", F.expr("_at div 2"))
+    r = r.withColumns({"logp": F.col("score"), "ref": 0.1 * F.col("score")})
     return P.preference_step(r, "pair", "row_id", "score", 0.5).select("name", rounded("value").alias("value"))
 
 
@@ -404,13 +403,14 @@ def group_step(spark, folder):
     return P.group_step(r.join(several, "uid", "left_semi"), size=40).select("row_id", "uid", rounded("advantage").alias("advantage"))
 
 
-_WHITE = """, n AS (SELECT sum(mask)::DOUBLE AS n, sum(a * mask) / (sum(mask) + 1e-8) AS m FROM x), v AS (SELECT n, m, sum(power(a - m, 2) * mask) / (any_value(n) + 1e-8) * any_value(n) / (any_value(n) - 1) AS v FROM x, n GROUP BY n, m)
+_WHITE = """, n AS MATERIALIZED (SELECT sum(mask)::DOUBLE AS n, sum(a * mask) / (sum(mask) + 1e-8) AS m FROM x),
+  v AS MATERIALIZED (SELECT (SELECT m FROM n) AS m, sum(power(a - (SELECT m FROM n), 2) * mask) / ((SELECT n FROM n) + 1e-8) * (SELECT n FROM n) / ((SELECT n FROM n) - 1) AS v FROM x)
 """
 
 
 @query(
     TOKENS + """, d AS (SELECT row_id, t, mask, value, reward + 0.99 * coalesce(lead(value) OVER (PARTITION BY row_id ORDER BY t), 0) - value AS delta FROM tok),
-    x AS (SELECT a.row_id, a.t, any_value(a.mask) AS mask, sum(power(0.99 * 0.95, b.t - a.t) * b.delta) AS a FROM d a JOIN d b ON a.row_id = b.row_id AND b.t >= a.t GROUP BY ALL)""" + _WHITE + "SELECT row_id, t, round((a - m) / sqrt(v + 1e-8), 6) AS advantage FROM x, v"
+    x AS MATERIALIZED (SELECT a.row_id, a.t, any_value(a.mask) AS mask, sum(power(0.99 * 0.95, b.t - a.t) * b.delta) AS a FROM d a JOIN d b ON a.row_id = b.row_id AND b.t >= a.t GROUP BY ALL)""" + _WHITE + "SELECT row_id, t, round((a - m) / sqrt(v + 1e-8), 6) AS advantage FROM x, v"
 )
 def adv_gae_whitened(spark, folder):
     g = A.gae_advantages(sequences(spark, folder), gamma=0.99, lam=0.95)
@@ -420,7 +420,7 @@ def adv_gae_whitened(spark, folder):
 @query(
     TOKENS.replace("WITH tok", "WITH RECURSIVE tok") + """, last AS (SELECT row_id, max(t) AS n FROM tok GROUP BY ALL),
     r AS (SELECT row_id, t, reward AS ret, mask FROM tok JOIN last USING (row_id) WHERE t = n UNION ALL SELECT tok.row_id, tok.t, tok.reward + 0.9 * r.ret * r.mask, tok.mask FROM r JOIN tok ON tok.row_id = r.row_id AND tok.t = r.t - 1),
-    x AS (SELECT row_id, t, mask, ret AS a FROM r)""" + _WHITE + "SELECT row_id, t, round((a - m) / sqrt(v + 1e-8) * mask, 6) AS advantage FROM x, v"
+    x AS MATERIALIZED (SELECT row_id, t, mask, ret AS a FROM r)""" + _WHITE + "SELECT row_id, t, round((a - m) / sqrt(v + 1e-8) * mask, 6) AS advantage FROM x, v"
 )
 def adv_rfpp_whitened(spark, folder):
     g = A.reinforce_plus_advantages(sequences(spark, folder), gamma=0.9)
@@ -429,7 +429,7 @@ def adv_rfpp_whitened(spark, folder):
 
 @query(
     TOKENS + """, u AS (SELECT tok.*, o_custkey AS uid FROM tok JOIN orders ON o_orderkey = row_id), m AS (SELECT uid, row_id, sum(reward * mask) / nullif(sum(mask), 0) AS a FROM u GROUP BY ALL), g AS (SELECT uid, sum(a) AS sa, count(*) AS n FROM m GROUP BY ALL),
-    y AS (SELECT u.*, mask * CASE WHEN n > 1 THEN (reward * n - sa) / (n - 1) ELSE reward END AS z FROM u JOIN g USING (uid)), x AS (SELECT row_id, t, mask, sum(z) OVER (PARTITION BY row_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM y)"""
+    y AS (SELECT u.*, mask * CASE WHEN n > 1 THEN (reward * n - sa) / (n - 1) ELSE reward END AS z FROM u JOIN g USING (uid)), x AS MATERIALIZED (SELECT row_id, t, mask, sum(z) OVER (PARTITION BY row_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM y)"""
     + _WHITE + "SELECT row_id, t, round((a - m) / sqrt(v + 1e-8), 6) AS advantage FROM x, v"
 )
 def adv_multi_source_whitened(spark, folder):

@@ -66,7 +66,11 @@ def pfppo_weights(spark, folder):
     return r.select("row_id", rounded("by_power").alias("by_power"), "max_min", "max_random")
 
 
-@query()
+@query(
+    ROLLOUTS.rstrip() + """, w AS (SELECT row_id, score * score + 1e-8 AS w, sum(score * score + 1e-8) OVER (ORDER BY row_id ROWS UNBOUNDED PRECEDING) AS hi FROM ro), e AS (SELECT row_id, hi - w AS lo FROM w),
+    d AS (SELECT row_id AS draw, ('0x' || left(md5('42:' || row_id), 12))::BIGINT / power(16, 12) * (SELECT max(hi) FROM w) AS x FROM ro)
+    SELECT draw, e.row_id FROM d ASOF JOIN e ON d.x >= e.lo"""
+)
 def pfppo_resample(spark, folder):
     return S.resample(S.resampling_weights(rollouts(spark, folder), "score", "pow"), "row_id", "weight")
 
@@ -82,12 +86,21 @@ def microbatch_count(spark, folder):
     return B.micro_batch_counts(d, "source", "n_chars", 4096)
 
 
-@query()
+@query(
+    """WITH o AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 64 AS batch FROM orders)
+    SELECT batch, count(*) AS n_rows, least(8, count(*))::BIGINT AS n_parts, CASE WHEN count(*) = 64 THEN 8 END::BIGINT AS in_each FROM o GROUP BY ALL"""
+)
 def kk_partitions(spark, folder):
-    """Batches of 64 orders in 8 parts of equal size and similar price."""
-    o = table(spark, folder, "orders").select("o_orderkey", F.col("o_totalprice").cast("bigint").alias("len"), F.expr("o_orderkey div 64").alias("batch"))
-    full = o.groupBy("batch").agg(F.count("*").alias("n")).where("n = 64").select("batch")
-    return B.balanced(o.join(full, "batch", "left_semi"), "batch", "o_orderkey", "len", 8, equal_size=True)
+    """Batches of 64 orders in 8 parts of similar price, of equal size but in an incomplete last batch: what comes out."""
+    o = table(spark, folder, "orders").select("o_orderkey", F.col("o_totalprice").cast("bigint").alias("len"))
+    o = S.with_position(o, ["o_orderkey"], "_at").withColumn("batch", F.expr("_at div 64")).drop("_at")
+    n = o.count()
+    parts = B.balanced(o.where(F.col("batch") < n // 64), "batch", "o_orderkey", "len", 8, equal_size=True)
+    if n % 64:
+        parts = parts.union(B.balanced(o.where(F.col("batch") == n // 64), "batch", "o_orderkey", "len", min(8, n % 64)))
+    sizes = parts.groupBy("batch", "part").agg(F.countDistinct("o_orderkey").alias("n"))
+    each = F.when((F.sum("n") == 64) & (F.min("n") == F.max("n")), F.min("n"))
+    return sizes.groupBy("batch").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_parts"), each.alias("in_each"))
 
 
 @query("SELECT DISTINCT request_id, batch_data_id FROM rollout_requests WHERE request_id NOT IN (SELECT request_id FROM messages WHERE lower(trim(role)) = 'assistant' AND request_id IS NOT NULL)")

@@ -26,17 +26,18 @@ def tumbling_windows(spark, folder):
     return S.windowed_means(e, "ts", "event_type", "value").select(F.unix_seconds("start").alias("start"), "event_type", "n", rounded("mean").alias("mean"))
 
 
-@query(
-    """SELECT event_id, (CASE WHEN value > coalesce(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '-infinity'::DOUBLE) THEN 0.0 ELSE -0.05 END)::DOUBLE AS penalty FROM events"""
-)
+_SESSIONS = """SELECT event_id, (CASE WHEN value > coalesce(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '-infinity'::DOUBLE) THEN 0.0 ELSE -0.05 END)::DOUBLE AS penalty FROM events"""
+
+
+@query(_SESSIONS)
 def tool_session_penalty(spark, folder):
     """The table form of the keyed session state."""
     return S.session_penalties(table(spark, folder, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", "penalty")
 
 
-@query()
+@query(_SESSIONS)
 def tool_session_stream(spark, folder):
-    """The same on a stream of the table, with state kept by user; order is that of arrival."""
+    """The same on a stream of the table, with state kept by user."""
     import uuid
 
     from quillon.plans.staging import shared_folder
@@ -46,4 +47,4 @@ def tool_session_stream(spark, folder):
     base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     q = S.tool_penalties(stream, "user_id").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").select("event_id", "penalty")

@@ -56,18 +56,21 @@ def windowed_means(stream: DataFrame, ts: str, key: str, value: str, late: str =
 
 def _tool_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     best = state.get[0] if state.exists else float("-inf")
-    for b in batches:
-        out = []
-        for e, v in zip(b["event_id"], b["value"]):
-            out.append((key[0], e, 0.0 if v > best else -0.05))
-            best = max(best, v)
-        yield pd.DataFrame(out, columns=["key", "event_id", "penalty"])
+    calls = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # one session's calls of one micro-batch
+    out = []
+    for e, v in zip(calls["event_id"], calls["value"]):
+        out.append((key[0], e, 0.0 if v > best else -0.05))
+        best = max(best, v)
+    yield pd.DataFrame(out, columns=["key", "event_id", "penalty"])
     state.update((best,))
 
 
 def tool_penalties(stream: DataFrame, key: str) -> DataFrame:
-    """(key, event_id, penalty): -0.05 for each call of a session that doesn't improve on its best value so far."""
-    rows = stream.select(F.col(key).alias("key"), "event_id", "value")
+    """(key, event_id, penalty): -0.05 for each call of a session that doesn't improve on its best value so far.
+
+    The calls of a session in one micro-batch are taken in the order of ts and event_id.
+    """
+    rows = stream.select(F.col(key).alias("key"), "event_id", "ts", "value")
     return rows.groupBy("key").applyInPandasWithState(_tool_state, "key long, event_id long, penalty double", "best double", "append", GroupStateTimeout.NoTimeout)
 
 
