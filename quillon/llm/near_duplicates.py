@@ -153,14 +153,15 @@ def _split(rows: DataFrame, width: int, threshold: float) -> DataFrame:
 
 
 def near_duplicate_groups(
-    df: DataFrame, id_col: str, text_col: str, *, width: int = 5, threshold: float = 0.8, least_words: int = 1, miss: float = 1e-3, crowd: int = CROWDED
+    df: DataFrame, id_col: str, text_col: str, *, width: int = 5, threshold: float = 0.8, least_words: int = 1, miss: float = 1e-3, crowd: int = CROWDED, exact: bool = False
 ) -> DataFrame:
     """(id, class_id, group_id, n_links): one row for each text of at least least_words (and width) words.
 
     Texts with the same set of shingles share class_id, the least id of them; classes linked by a similarity of at least
     threshold, directly or through others, share group_id, the least id of the group; n_links counts the verified links
     of the class with other classes that were needed to find the group (every linked pair is connected by them, not
-    every one is listed). id_col must hold integers; rows with a null id or text, and shorter texts, are left out; a row
+    every one is listed). Buckets of more than `crowd` nodes are split further, without a loss. With exact no link is
+    missed at all: what the tables leave apart is compared by rare shingles too. id_col must hold integers; rows with a null id or text, and shorter texts, are left out; a row
     repeated with the same id and text counts once. Other columns are ignored. An empty input gives an empty result.
     """
     segments = segments_for(threshold, miss)
@@ -188,7 +189,11 @@ def near_duplicate_groups(
     crowded = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("n") > crowd)
     loose = placed.join(crowded, "key", "left_anti")
     apart = _apart(loose).join(tried, ["a", "b"], "left_anti")
-    dense = placed.join(crowded.where("p < q"), "key", "left_semi").select("id", "part").distinct().join(texts.dropDuplicates(["id"]), "id")
+    if exact:
+        dense = nodes.select("id").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("part"))
+    else:
+        dense = placed.join(crowded.where("p < q"), "key", "left_semi").select("id", "part").distinct()
+    dense = dense.join(texts.dropDuplicates(["id"]), "id")
     split = _apart(stage(_split(stage(dense, "crowded"), width, threshold), "split-buckets")).join(tried, ["a", "b"], "left_anti")
     across = verify(stage(apart, "rest-pairs"), "across").union(verify(stage(split, "split-pairs"), "split", n))
     links = stage(stars.union(across).distinct(), "links")

@@ -102,6 +102,15 @@ def test_crowded_buckets(spark, crowd):
     assert {tuple(r) for r in group_pairs(got).collect()} == want and len(want) > 400
 
 
+def test_exact_finds_what_the_tables_miss(spark):
+    """With tables that miss nearly everything, the exact way still finds every group."""
+    rows = texts(5)
+    df = spark.createDataFrame(rows, "id long, text string")
+    want, _ = by_pairs(rows, 3, 0.7, 1)
+    loose, exact = (group_pairs(near_duplicate_groups(df, "id", "text", width=3, threshold=0.7, miss=0.99, exact=e)) for e in (False, True))
+    assert {tuple(r) for r in loose.collect()} < want and {tuple(r) for r in exact.collect()} == want
+
+
 def test_segments():
     assert segments_for(1.0, 1e-3) == 1
     for t in (0.5, 0.7, 0.8, 0.9):
