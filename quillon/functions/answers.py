@@ -10,6 +10,7 @@ import ast
 import math
 import re
 from fractions import Fraction
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -195,6 +196,7 @@ class _Value(ast.NodeVisitor):
         return ops[type(node.op)]()
 
 
+@lru_cache(maxsize=10_000)
 def _tree(expression: str) -> tuple[ast.Expression, set[str]]:
     s = re.sub(r"(?<=[0-9)])\s*(?=[a-z(])|(?<=[0-9a-z)])\s+(?=[0-9a-z(])", "*", expression.replace("^", "**").strip())
     tree = ast.parse(s, mode="eval")
@@ -209,11 +211,11 @@ def same_expression(a: str, b: str, tolerance: float = 1e-12) -> bool:
         (x, names), (y, others) = _tree(a), _tree(b)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return False
-    names |= others
+    names = names | others
     if len({c for n in names for c in n}) > 2:
         return False
     tried = 0
-    for k in range(6):
+    for k in range(4 if names else 1):
         at = {n: Fraction(7 * k + 3 * j + 2, 5 + j + k) for j, n in enumerate(sorted(names))} | {"pi": Fraction(math.pi)}
         try:
             p, q = _Value(at).visit(x), _Value(at).visit(y)
@@ -225,6 +227,7 @@ def same_expression(a: str, b: str, tolerance: float = 1e-12) -> bool:
     return tried > 0
 
 
+@lru_cache(maxsize=100_000)
 def same_answer(given: str | None, gold: str | None, plain=None) -> bool:
     """Equal forms, or tuples whose elements are equal: as they are written where both are fractions, or where only one
     is a whole number, else by value. Nothing equals a missing answer. plain makes a further form to compare by."""
@@ -274,6 +277,7 @@ def _near(a: float, b: float) -> bool:
     return math.isclose(a, b, rel_tol=TOLERANCE)
 
 
+@lru_cache(maxsize=100_000)
 def close_answer(given: str | None, gold: str | None, pi: float = math.pi) -> bool:
     """Equal as text, as numbers up to a factor of a hundred, as intervals or tuples of such, as matrices, by value."""
     if given is None or gold is None:

@@ -26,6 +26,26 @@ def prompt(template: Column | str, text: Column, system: str | None = None, suff
     return F.array(*([one("system", F.lit(system))] if system is not None else []), one("user", body))
 
 
+class Templates:
+    """Prompts by name: each a system text, if any, a template with {problem_query}, and a suffix."""
+
+    def __init__(self):
+        self._known: dict[str, tuple[str | None, str, str]] = {}
+
+    def add(self, name: str, template: str, system: str | None = None, suffix: str = "") -> Templates:
+        if "{problem_query}" not in template:
+            raise ValueError(f"{name} has no place for the problem")
+        self._known[name] = system, template, suffix
+        return self
+
+    def prompt(self, name: str, text: Column, thinking: bool = True) -> Column:
+        """The messages of a prompt; without thinking its user text ends with /no_think."""
+        if name not in self._known:
+            raise KeyError(f"no template {name}: one of {sorted(self._known)}")
+        system, template, suffix = self._known[name]
+        return prompt(template, text, system, suffix + ("" if thinking else " /no_think"))
+
+
 def completion_pair(messages: str) -> tuple[Column, Column]:
     """(prompt, completion): the messages that aren't the assistant's, and the first assistant content (NULL without)."""
     m = F.col(messages)

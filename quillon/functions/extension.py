@@ -57,6 +57,22 @@ def batch_scorer(f: Callable[[list, list, list], list[float]]) -> Callable[[Colu
     return udf
 
 
+def library_verifier(timeout_score: float = 0.0) -> Callable[[Column, Column, Column], Column]:
+    """Scores by the external verifier of mathematical answers, where it is installed; else ImportError."""
+    from math_verify.errors import TimeoutException
+    from math_verify.metric import math_metric
+    from math_verify.parser import ExprExtractionConfig, LatexExtractionConfig
+
+    def score(source: str, response: str, truth: str) -> float:
+        verify = math_metric(gold_extraction_target=(LatexExtractionConfig(),), pred_extraction_target=(ExprExtractionConfig(), LatexExtractionConfig()))
+        try:
+            return verify(["\\boxed{" + truth + "}"], [response])[0]
+        except TimeoutException:
+            return timeout_score
+
+    return row_scorer(score)
+
+
 def register(spark: SparkSession, name: str, f: Callable, kind: str = "double") -> None:
     """Make a function callable from SQL."""
     spark.udf.register(name, f, kind)

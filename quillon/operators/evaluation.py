@@ -26,6 +26,18 @@ def tests_from_json(tasks: DataFrame, json_col: str = "input_output") -> DataFra
     return rows.select("task_id", "test_idx", F.col("t.inputs").alias("input"), F.col("t.outputs").alias("expected"))
 
 
+def execution_requests(tasks: DataFrame, solutions: str = "solutions", tests: str = "input_output") -> DataFrame:
+    """(task_id, sol_idx, test_idx, code, input, expected): each solution of a task against each of its tests, for an
+    executor outside. Tasks without readable solutions or tests give no rows."""
+    s = tasks.select("task_id", F.posexplode(F.from_json(solutions, "array<string>")).alias("sol_idx", "code"))
+    return s.join(tests_from_json(tasks, tests), "task_id").select("task_id", "sol_idx", "test_idx", "code", "input", "expected")
+
+
+def failing_candidates(verdicts: DataFrame, reference: int = 0) -> DataFrame:
+    """(task_id, sol_idx): the candidates that fail some test that the reference passes."""
+    return on_valid_tests(verdicts, reference).where((F.col("sol_idx") != reference) & ~F.col("passed")).select("task_id", "sol_idx").distinct()
+
+
 def with_verdicts(executions: DataFrame, tests: DataFrame) -> DataFrame:
     """(task_id, sol_idx, test_idx, passed): the rule depends on the language (missing: Python).
 

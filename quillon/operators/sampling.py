@@ -47,6 +47,12 @@ def first_rows(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
     return with_position(df, order, "_at").where(F.col("_at") < n).drop("_at")
 
 
+def top_rows(df: DataFrame, group: str, order: list[Column | str], k: int, out: str = "rank") -> DataFrame:
+    """The first k rows of each group in a total order, with their rank from 1; each task keeps k rows of a group before
+    the shuffle."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(out) <= k)
+
+
 def ordered_within(df: DataFrame, key: str, order: list[str], out: str = "place") -> DataFrame:
     """df with each row's place 1, 2, … among the rows of its key, in a total order; a frequent key is spread over ranges."""
     p = with_position(df, [key, *order], "_at")

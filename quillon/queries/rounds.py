@@ -644,3 +644,32 @@ def extracted_code_of_pools(spark, folder):
     """Programs of fenced responses, as they enter the pools."""
     r = F.concat(F.lit("x ```python\n"), F.col("event_type"), F.lit("\n``` y"))
     return table(spark, folder, "events").select("event_id", text.python_code(r).alias("kind"), F.lit("user").alias("role"))
+
+
+@query(
+    """WITH s AS (SELECT task_id, solutions, input_output, unnest(range(json_array_length(solutions)::BIGINT)) AS i FROM tasks WHERE json_valid(solutions)),
+    t AS (SELECT task_id, unnest(range(least(json_array_length(input_output, '$.inputs'), json_array_length(input_output, '$.outputs'))::BIGINT)) AS k FROM tasks WHERE json_valid(input_output))
+    SELECT s.task_id, i::INT AS sol_idx, k::INT AS test_idx, json_extract_string(solutions, '$[' || i || ']') AS code, json_extract_string(input_output, '$.inputs[' || k || ']') AS input FROM s JOIN t USING (task_id)"""
+)
+def execution_requests(spark, folder):
+    """Each solution against each test of its task."""
+    return E.execution_requests(table(spark, folder, "tasks")).drop("expected")
+
+
+@query(V + ", ok AS (SELECT task_id, test_idx FROM v WHERE sol_idx = 0 AND passed) SELECT DISTINCT task_id, sol_idx FROM v JOIN ok USING (task_id, test_idx) WHERE sol_idx <> 0 AND NOT passed")
+def failing_candidates(spark, folder):
+    return E.failing_candidates(verdicts_of(spark, folder))
+
+
+@query(ROLLOUTS + "SELECT row_id, uid, round(score, 6) AS score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, row_id)::INT AS rank FROM ro QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, row_id) <= 2")
+def top_two(spark, folder):
+    r = S.top_rows(rollouts(spark, folder), "uid", [F.desc("score"), "row_id"], 2)
+    return r.select("row_id", "uid", rounded("score").alias("score"), "rank")
+
+
+@query("SELECT p_partkey, 'S' AS system, 'Solve: ' || p_name || ' Go.' || CASE WHEN p_partkey % 2 = 0 THEN ' /no_think' ELSE '' END AS user FROM part")
+def named_templates(spark, folder):
+    t = chat.Templates().add("solve", "Solve: {problem_query}", "S", " Go.")
+    p = F.when(F.col("p_partkey") % 2 == 0, t.prompt("solve", F.col("p_name"), thinking=False)).otherwise(t.prompt("solve", F.col("p_name")))
+    m = table(spark, folder, "part").select("p_partkey", p.alias("m"))
+    return m.select("p_partkey", F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("user"))

@@ -35,6 +35,11 @@ def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def debug_sample(df: DataFrame, n: int | None) -> DataFrame:
+    """n rows for a trial run of a pipeline; all of them where n is None or 0."""
+    return df.limit(n) if n else df
+
+
 def read_columns(df: DataFrame, keys: dict[str, str]) -> DataFrame:
     """Columns by paths such as extra_info.answer; an array of one element stands for the element."""
     kinds = df.select(*(F.col(p).alias(n) for n, p in keys.items())).dtypes

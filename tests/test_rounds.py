@@ -179,3 +179,29 @@ def test_process_step(spark):
     tokens = spark.createDataFrame([(k, t, 1, -0.1 * t, -0.2 * t) for k in range(12) for t in (1, 2, 3)], "row_id long, t long, mask int, logp double, ref double")
     s = P.process_step(rows, tokens, low=0.2, high=0.8, most=100, factor=1.5).collect()
     assert {r.row_id for r in s} == set(range(8)) and abs(sum(r.advantage for r in s)) < 1e-6
+
+
+def test_tokens_of_prompts(spark):
+    import os
+
+    from quillon.functions import tokenizing as K
+
+    if not os.path.exists(K.TOKENIZER):
+        pytest.skip("no tokenizer")
+    df = spark.createDataFrame([("a",), ("word " * 50,), (None,), ("",)], "t string")
+    assert [r.t for r in K.without_overlong(df, F.col("t"), 5).collect()] == ["a", None, ""]
+    n = len(K.encoder(K.TOKENIZER).encode_ordinary("word " * 50))
+    assert df.select(K.n_tokens(F.col("t")).alias("n")).collect()[1].n == n
+
+
+def test_small_parts(spark):
+    from quillon.functions.chat import Templates
+
+    df = spark.range(5)
+    assert io.debug_sample(df, 2).count() == 2 and io.debug_sample(df, None).count() == 5
+    with pytest.raises(ValueError):
+        Templates().add("x", "no place")
+    with pytest.raises(KeyError):
+        Templates().prompt("x", F.lit("a"))
+    with pytest.raises(ImportError):
+        X.library_verifier()
