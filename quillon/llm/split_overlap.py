@@ -43,7 +43,7 @@ LINE = re.compile(r"\r\n|\r|\n")
 LONG, SHORT = 9, 5  # words of a span that counts as shared in the coverage
 LONG_FROM = 29  # words of a text whose spans are LONG
 MAP_BITS = 256
-TAIL = 4  # tokens after the first ones by which the suffixes of a run are sorted, four bytes each
+TAIL = 4  # tokens after the first ones by which the suffixes of a run are sorted, by 16 bits of each one's hash
 RANGE_ROWS = 2_000_000  # suffixes in one range of the array
 TRAIN, HELD, BOTH = 1, 2, 3
 LEAST_TESTS = 3
@@ -108,14 +108,16 @@ def _suffixes(width: int, near: dict[str, float], counts):
                 after = width if field == "user" else 1
                 s, start = np.unique(shingles(seq, width), return_index=True) if field == "user" else (seq, np.arange(len(seq)))
                 first = first_members(s, counts.value, near[field])
-                short = np.concatenate([(seq >> np.uint64(32)).astype(">u4"), np.zeros(after + TAIL, ">u4")])
-                tails = short[start[first, None] + after + np.arange(TAIL)]
-                parts.append((node, side, field == "user", len(s), parity(s), s[first].view(np.int64), [t.tobytes() for t in tails]))
+                short = np.concatenate([seq >> np.uint64(64 - 64 // TAIL), np.zeros(after + TAIL, np.uint64)])
+                at, tail = start[first] + after, np.zeros(len(first), np.uint64)
+                for k in range(TAIL):
+                    tail = (tail << np.uint64(64 // TAIL)) | short[at + k]
+                parts.append((node, side, field == "user", len(s), parity(s), s[first].view(np.int64), tail.view(np.int64)))
             if parts:
                 n = [len(p[5]) for p in parts]
                 each = lambda k, kind: np.repeat(np.array([p[k] for p in parts], kind), n)
                 yield pd.DataFrame(
-                    {"key": np.concatenate([p[5] for p in parts]), "tail": [t for p in parts for t in p[6]], "side": each(1, np.int8), "text": each(2, bool), "node": each(0, np.int64)}
+                    {"key": np.concatenate([p[5] for p in parts]), "tail": np.concatenate([p[6] for p in parts]), "side": each(1, np.int8), "text": each(2, bool), "node": each(0, np.int64)}
                     | {"place": np.concatenate([np.arange(k, dtype=np.int32) for k in n]), "size": each(3, np.int32)}
                     | {f"m{k}": np.repeat([p[4][k] for p in parts], n) for k in range(4)}
                 )
@@ -209,7 +211,7 @@ class SplitOverlap:
         )
         nodes = stage(nodes.withColumn("node", F.xxhash64("field", "h0", "h1")), "sequence-nodes")
         self.members = seqs.select("id", "trained", F.xxhash64("field", "h0", "h1").alias("node")).distinct()
-        shape = "key long, tail binary, side byte, text boolean, node long, place int, size int, m0 long, m1 long, m2 long, m3 long"
+        shape = "key long, tail long, side byte, text boolean, node long, place int, size int, m0 long, m1 long, m2 long, m3 long"
 
         def sets(batch: pd.DataFrame) -> Iterator[np.ndarray]:
             return (_set(f, np.frombuffer(x, np.uint64), width) for f, x in zip(batch["field"], batch["seq"]))
