@@ -186,13 +186,13 @@ def near_duplicate_groups(
     parts = connected_components(stars)
     placed = shared.select("key", "id").join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
     placed = stage(placed, "placed")
-    crowded = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("n") > crowd)
-    loose = placed.join(crowded, "key", "left_anti")
-    apart = _apart(loose).join(tried, ["a", "b"], "left_anti")
+    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key", "n")
+    mixed = stage(placed.join(mixed, "key"), "mixed")  # buckets of one component are done
+    apart = _apart(mixed.where(F.col("n") <= crowd).drop("n")).join(tried, ["a", "b"], "left_anti")
     if exact:
         dense = nodes.select("id").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("part"))
     else:
-        dense = placed.join(crowded.where("p < q"), "key", "left_semi").select("id", "part").distinct()
+        dense = mixed.where(F.col("n") > crowd).select("id", "part").distinct()
     dense = dense.join(texts.dropDuplicates(["id"]), "id")
     split = _apart(stage(_split(stage(dense, "crowded"), width, threshold), "split-buckets")).join(tried, ["a", "b"], "left_anti")
     across = verify(stage(apart, "rest-pairs"), "across").union(verify(stage(split, "split-pairs"), "split", n))
