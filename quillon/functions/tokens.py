@@ -71,7 +71,7 @@ def scattered(score: Column, mask: Column) -> Column:
 def continued_positions(positions: Column, more: int) -> Column:
     """positions with `more` entries counting on from the last."""
     last = F.coalesce(F.try_element_at(positions, F.lit(-1)), F.lit(-1))
-    return F.concat(positions, F.transform(F.sequence(F.lit(1), F.lit(more)), lambda k: (last + k).cast("int")))
+    return F.concat(positions, F.sequence(last + 1, last + more)) if more > 0 else positions
 
 
 def prompt_response_lengths(mask: Column, response: int) -> tuple[Column, Column]:

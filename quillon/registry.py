@@ -28,5 +28,5 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    for name in ("evaluation", "advantages", "losses", "metrics", "batches", "texts", "grading", "tokens", "sampling", "stateful", "rounds"):
+    for name in ("evaluation", "advantages", "losses", "metrics", "batches", "texts", "grading", "tokens", "sampling", "stateful", "rounds", "files"):
         import_module(f"quillon.queries.{name}")
