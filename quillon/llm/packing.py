@@ -10,10 +10,8 @@ texts of their length.
 
 from __future__ import annotations
 
-import base64
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,25 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from quillon.functions.tokenizing import TOKENIZER, encoder
 from quillon.plans.staging import stage
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-# Fixed value: how the public byte-level vocabularies cut a text before pairs are merged.
-CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BROADCAST_ROWS = 1_000_000  # of 44 bytes
 RANKS = 1 << 20  # of one length in one block of the join that takes the place of a larger broadcast
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """The tokenizer of a file of ranks."""
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})
-
-
 def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(id, n_tokens) of each row whose text isn't null or blank."""
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEGMENT = re.compile(r"[^\n.!?。！？]*(?:[.!?。！？]+|\n|$)\s*")
+HASHES = 2**63 - 1  # the greatest hash without its sign: fine enough for a few texts of any number
 PASSAGE = 1000  # characters of a passage of the sample; longer ones are cut into several
 
 
@@ -36,11 +37,11 @@ def labelled_sample(df: DataFrame, text_col: str, lang_col: str, per_language: i
     if not frequent:
         return []
     rare = sizes.where(~F.col("lang").isin(*frequent)).agg(F.sum("n").alias("n")).first().n
-    share = lambda n: min(1_000_000, int(1_000_000 * per_language / max(1, n)))
+    share = lambda n: min(HASHES, HASHES * per_language // max(1, n))
     known = F.create_map(*(F.lit(x) for k, n in frequent.items() for x in (k, share(n))))
     rows = rows.withColumn("share", F.coalesce(known[F.col("lang")], F.lit(share(rare or 0))))
     rows = rows.withColumn("lang", F.when(F.col("lang").isin(*frequent), F.col("lang")).otherwise(""))
-    sample = rows.where(F.pmod("h", F.lit(1_000_000)) < F.col("share")).dropDuplicates(["lang", "h"]).select("lang", "text")
+    sample = rows.where(F.col("h").bitwiseAND(F.lit(HASHES)) <= F.col("share")).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

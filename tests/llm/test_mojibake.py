@@ -123,3 +123,13 @@ def test_passages_are_chosen_from_the_whole_text():
     some = passages(text, 40)
     assert len(some) == 40 and any(int(p.split()[1][:-1]) > 400 for p in some) and "".join(passages(text)) == text
     assert "".join(passages("x" * 5000)) == "x" * 5000
+
+
+def test_samples_of_any_number_of_texts(spark, monkeypatch):
+    """A share that is less than one in a billion is still drawn from."""
+    from quillon.llm import samples
+
+    df = spark.range(400).selectExpr("concat('text ', id) as text", "'en' as lang")
+    assert 20 <= len(samples.labelled_sample(df, "text", "lang", 50, 10, 5)) <= 90
+    assert len(samples.labelled_sample(df, "text", "lang", 1000, 10, 5)) == 400
+    assert samples.HASHES * 1500 // 10**11 > 10**8
