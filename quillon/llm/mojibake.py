@@ -4,7 +4,8 @@ A chain is a pair of encodings: the text was written in `right` and decoded as `
 decoding it as `right` restores it; chains apply repeatedly. For every text the passages (sentences or lines) that look
 odd are compressed under each candidate chain with a zstandard dictionary per language. A chain is taken if the shortest
 result over all languages, plus the chain's own cost, is shorter than that of the text as it stands; otherwise the text
-stays unchanged. What looks odd is what a table of usual character pairs doesn't hold, and what is valid UTF-8 once
+stays unchanged. A chain costs chain_cost bytes, and one where there are few and what they undo is told by its form: UTF-8
+in an encoding of Latin letters. What looks odd is what a table of usual character pairs doesn't hold, and what is valid UTF-8 once
 encoded as `wrong`; the table only spares the compressor candidates that leave as many odd pairs as there were.
 
 Dictionaries and table are fitted on a bounded sample: `per_text` passages of each of about `per_language` distinct texts
@@ -149,9 +150,25 @@ def implausible(f: str) -> bool:
     return (a.isalpha() and signs[1]) or (b.isalpha() and signs[0] and a not in "√°£€¥§©™®№¿¡")
 
 
+# Dashes and the ellipsis, and lines from side to side.
+SPACED, LINES = "–—…", "─━═"
+
+
+def drawn(a: str, b: str) -> bool:
+    """Pairs that are as plain as ASCII, however rare: a dash, an ellipsis or the end of a drawn line beside a blank, and
+    a line that goes on into the next sign of a drawing."""
+    box = lambda c: "\u2500" <= c <= "\u257f"
+    if a == " " or b == " ":
+        return (b if a == " " else a) in SPACED or box(b if a == " " else a)
+    if not (box(a) and box(b)) or a not in LINES and b not in LINES:
+        return False
+    names = unicodedata.name(a), unicodedata.name(b)
+    return ("RIGHT" in names[0] or "HORIZONTAL" in names[0]) and ("LEFT" in names[1] or "HORIZONTAL" in names[1])
+
+
 @lru_cache(maxsize=200_000)
 def _of_pair(a: str, b: str) -> tuple[str, ...]:
-    if a < "\x80" and b < "\x80":
+    if a < "\x80" and b < "\x80" or drawn(a, b):
         return ()
     if CJK.match(a) or CJK.match(b):
         return tuple(c for c in (a, b) if c >= "\x80")
@@ -378,7 +395,8 @@ def judge(model: Model, text: str, chain_cost: int = 3) -> tuple[str, list[str],
         best, most = None, 0
         for chains, new in found.items():
             old = "".join(segments[k] for k in new)
-            gain = model.size(old) - model.size("".join(new.values())) - chain_cost * len(chains)
+            cost = sum(1 if c[1] == "utf-8" and c[0] in LATIN else chain_cost for c in chains)
+            gain = model.size(old) - model.size("".join(new.values())) - cost
             if gain > most:
                 best, most = chains, gain
         if best is None:
