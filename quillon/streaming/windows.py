@@ -16,11 +16,12 @@ def trailing_counts(events: DataFrame, key: str, ts: str, seconds: int = 60) ->
     """events with n_trailing: how many of the key's events lie in the last `seconds` up to each.
 
     An event exactly that old is out; the frame ends a microsecond before. Each stretch of `seconds` of a key is counted
-    apart, with the times of the stretch before it, so that a frequent key is spread over tasks.
+    apart, with the times of the stretch before it, so that a frequent key is spread over tasks. Events without a time
+    count those of their key without one; a missing key is a key.
     """
     width = seconds * 1_000_000
     own = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumns({"_b": F.floor(F.col("_t") / width).cast("long"), "_own": F.lit(1)})
-    times = own.select(key, "_t", (F.col("_b") + 1).alias("_b"), F.lit(0).alias("_own"))
+    times = own.where(F.col("_t").isNotNull()).select(key, "_t", (F.col("_b") + 1).alias("_b"), F.lit(0).alias("_own"))
     w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-(width - 1), 0)
     both = own.unionByName(times, allowMissingColumns=True).withColumn("n_trailing", F.count("*").over(w))
     return both.where("_own = 1").drop("_t", "_b", "_own")
@@ -41,9 +42,9 @@ def session_penalties(rows: DataFrame, key: str, order: list[str], value: str, p
     r = ranged(rows, [key, *order], "sessions")
     inside = F.max(value).over(Window.partitionBy("_p", key).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1))
     top = r.groupBy("_p", F.col(key).alias("_k")).agg(F.max(value).alias("_top"))
-    several = top.groupBy("_k").agg(F.count("*").alias("n")).where("n > 1").select("_k")
-    carried = top.join(several, "_k").select(F.col("_p").alias("_q"), F.col("_k"), F.max("_top").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    r = r.withColumn("_best", inside).join(F.broadcast(carried), (F.col("_p") == F.col("_q")) & (F.col(key) == F.col("_k")), "left")
+    several = top.groupBy(F.col("_k").alias("_s")).agg(F.count("*").alias("n")).where("n > 1").select("_s")
+    carried = top.join(several, F.col("_k").eqNullSafe(F.col("_s"))).select(F.col("_p").alias("_q"), F.col("_k"), F.max("_top").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    r = r.withColumn("_best", inside).join(F.broadcast(carried), (F.col("_p") == F.col("_q")) & F.col(key).eqNullSafe(F.col("_k")), "left")
     best = F.coalesce(F.greatest("_best", "_before"), F.lit(float("-inf")))
     return r.withColumn("penalty", F.when(F.col(value) > best, 0.0).otherwise(penalty)).drop("_p", "_i", "_best", "_q", "_k", "_before")
 

@@ -68,6 +68,35 @@ def test_trailing_counts_of_a_hot_key(spark):
     assert got == {i: sum(k == kk and 0 <= u - uu < 60_000_000 for _, kk, uu in data) for i, k, u in data}
 
 
+def test_missing_keys_times_and_values(spark, many_ranges):
+    """A missing key is a key of its own, whose rows lie in several ranges."""
+    data = [(k, None if k % 3 else "a", k, None if k % 7 == 0 else float(k % 5)) for k in range(200)]
+    df = spark.createDataFrame(data, "id long, key string, t long, v double")
+    seen = defaultdict(list)
+    place, best, want = {}, {}, {}
+    for i, k, _, v in data:
+        seen[k].append(v)
+        place[i] = len(seen[k])
+        want[i] = 0.0 if v is not None and v > best.get(k, float("-inf")) else -0.05
+        best[k] = max(best.get(k, float("-inf")), v if v is not None else float("-inf"))
+    assert {r.id: r.place for r in S.ordered_within(df, "key", ["t"]).collect()} == place
+    assert {r.id: r.penalty for r in W.session_penalties(df, "key", ["t"], "v").collect()} == want
+    last = max(i for i, k, *_ in data if k is None)
+    known = [v for _, k, _, v in data if k is None and v is not None]
+    assert W.running_mean(df, "key", ["t"], "v").where(F.col("id") == last).first().running == pytest.approx(sum(known) / len(known))
+    late = spark.createDataFrame([(0, "a", None), (1, "a", None), (2, "a", 5), (3, None, 5)], "id int, key string, us long").withColumn("ts", F.timestamp_micros("us"))
+    assert {r.id: r.n_trailing for r in W.trailing_counts(late, "key", "ts").collect()} == {0: 2, 1: 2, 2: 1, 3: 1}
+    few = {r.id for r in S.top_rows(df, "key", [F.desc("v"), "id"], 2).collect()}
+    assert len(few) == 4
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "row_id long, key string, t long, v double")
+    assert S.resample(df, "row_id", "v").count() == 0 and W.running_mean(df, "key", ["t"], "v").count() == 0
+    assert W.session_penalties(df, "key", ["t"], "v").count() == 0 and L.pairwise_accuracy(df, "key", "row_id", "v", "v").count() == 0
+    assert S.ordered_within(df, "key", ["t"]).count() == 0 and L.best_of_n_weights(df, "key", "v").count() == 0
+
+
 def test_draws_meet_their_rows(spark, many_ranges):
     n = 500
     df = spark.createDataFrame([(k, float(k % 5)) for k in range(n)], "row_id long, w double")
