@@ -115,14 +115,13 @@ def discrimination(
     which round of training a candidate is, there is also discrimination_{pool} for each, by the candidates of that pool;
     discrimination is that of all.
     """
-    v = stage(verdicts, "verdicts")  # a few numbers a row, read three times
+    v = stage(verdicts, "verdicts")  # a few numbers a row, read several times
     tests = v.groupBy("task_id", "test_idx").agg(F.bool_or((F.col("sol_idx") == reference) & F.col("passed")).alias("valid"))
     if unique is not None:
         kept = unique.groupBy("task_id", "text").agg(F.min("test_idx").alias("test_idx")).select("task_id", "test_idx", F.lit(True).alias("kept"))
         tests = tests.join(kept, ["task_id", "test_idx"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     else:
         tests = tests.withColumn("kept", F.lit(True))
-    tests = stage(tests, "tests")
     per_task = tests.groupBy("task_id").agg(
         F.count("*").alias("n_tests"), F.count_if("kept").alias("n_unique"), F.count_if(F.col("kept") & F.col("valid")).alias("n_valid"),
     )

@@ -136,7 +136,7 @@ def test_pairwise_accuracy_against_all_pairs(spark):
         assert got[g] == pytest.approx(right / w if w else 0.5)
 
 
-def test_recursions(spark, monkeypatch):
+def test_recursions(spark):
     rng = random.Random(2)
     data = [([rng.random() for _ in range(n)], [rng.randrange(2) for _ in range(n)]) for n in (0, 1, 2, 7, 40, 3, 3)] + [(None, None)]
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(data)], "id int, x array<double>, g array<int>")
@@ -149,8 +149,8 @@ def test_recursions(spark, monkeypatch):
             run = now * b
         return out[::-1]
 
-    for cells in (1 << 22, 8):
-        monkeypatch.setattr(R, "CELLS", cells)
+    for batch in ("10000", "3"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
         got = df.select("id", R.discounted(F.col("x"), 0.9).alias("y"), R.discounted(F.col("x"), 0.9, F.col("g")).alias("z"), R.counted_positions("g").alias("p")).orderBy("id").collect()
         for r, (x, g) in zip(got, data):
             if x is None:
@@ -158,3 +158,4 @@ def test_recursions(spark, monkeypatch):
             else:
                 assert r.y == pytest.approx(fold(x, [1] * len(x), 0.9)) and r.z == pytest.approx(fold(x, g, 0.9))
                 assert r.p == [max(sum(g[: k + 1]) - 1, 0) for k in range(len(g))]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
